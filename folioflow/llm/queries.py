@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import truncation
+from folioflow.llm import qa_defects, truncation
 from folioflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return qa_defects.defects(table(spark, folder, "mcq_items"), table(spark, folder, "replies"))
+
+
+def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return qa_defects.profile(table(spark, folder, "mcq_items"), table(spark, folder, "replies"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.found(table(spark, folder, "replies"))
 
@@ -24,6 +32,12 @@ def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.limits(table(spark, folder, "replies"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_limits": p3_limits}
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_profile": p1_profile,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
+    "p3_limits": p3_limits,
+}
 
 ORACLES: dict[str, str] = {}
