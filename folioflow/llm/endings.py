@@ -22,6 +22,14 @@ _LETTERS = re.compile(r"(?:^|[\s:])[A-Z]\.?(?:\s*[,;/]\s*[A-Z]\.?)+$|(?:\b\d+\s*
 _DIGITS = re.compile(r"\d+")
 _OPEN_END = re.compile(r"[,;:(\[{«„“¿¡/&+=–—-]$")
 _CLOSED_END = re.compile(r"[\"'»”’)\]}*_`>%€$°]$")
+# Articles, conjunctions and prepositions that no sentence ends with unless it was cut there.
+HANGING = frozenset(
+    "the a an and or but because although whereas which of than if unless while nor so-that whose every"
+    " der das dem des und oder aber weil obwohl sodass dass wenn von für zum zur beim ein eine einen einem einer"
+    " le les des du un une et ou mais parce que qui dont pour car lorsque chez"
+    " el los las del una y o pero porque aunque con por"
+    " il gli della che perché dos das pelo het een omdat maar".split()
+)
 _WORDY = re.compile(r"\w")
 _cores: dict[str, str] = {}
 
@@ -39,7 +47,7 @@ def core(raw: str) -> str:
 def ending(text: str) -> tuple[str, str]:
     """How ``text`` ends: (kind, last token).
 
-    Kinds: ``stop`` a sentence mark, ``closed`` a bracket, quotation or other symbol, ``open`` a mark that
+    Kinds: ``hanging`` a word of ``HANGING``, ``stop`` a sentence mark, ``closed`` a bracket, quotation or other symbol, ``open`` a mark that
     something must follow, ``word`` a bare word, ``marked`` a word followed by a sign of omission.
     """
     z = text.rstrip()
@@ -57,7 +65,7 @@ def ending(text: str) -> tuple[str, str]:
     token = core(last)
     if not token:
         return "closed", ""
-    return ("marked" if marked else "word"), token
+    return ("marked" if marked else "hanging" if token in HANGING else "word"), token
 
 
 def count_tokens(texts: Iterable[str]) -> dict[str, list[int]]:

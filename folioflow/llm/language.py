@@ -21,11 +21,13 @@ FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine den von zu mit sich auf dem des wenn im wird sie welche wie durch nur als dass",
     "fr": "le la les de des du et est une un que qui dans pour elle il ne pas par sur au avec ce quand quelle plus aux",
     "es": "el la los las de del y es una un que en se por con para no su lo al cuando como esta qué cuál solo más",
-    "it": "il lo gli di del della che e è una un per con non si da nel sono come quando quale più anche solo questa",
-    "pt": "o a os as do da dos das e é uma um que em não se por com para no na quando como mais qual só isso",
-    "nl": "de het een en van is dat niet op te met voor zijn aan er als door welke wat wanneer hoe maar ook alleen deze",
+    "it": "il lo gli di del della che e è una un per con non si da nel sono come quando quale più anche solo questa delle dei degli alla alle nella nessuna nessun due perché viene vengono dopo così poi essere stato entrambi",
+    "pt": "o a os as do da dos das e é uma um que em não se por com para no na quando como mais qual só isso não pois já tinha trata porque depois esta este pelo pela nos nas são está ambas mesmo",
+    "nl": "de het een en van is dat niet op te met voor zijn aan er als door welke wat wanneer hoe maar ook alleen deze wordt worden omdat na naar bij geen twee dan dit heeft onder tussen beide",
 }
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_KNOWN_IN = {w: [i for i, lang in enumerate(LANGS) if w in _SETS[lang]] for s in _SETS.values() for w in s}
+_FLOOR, _USUAL = math.log(1e-6), math.log(3e-3)
 _WORD = re.compile(r"[^\W\d_]+")
 _buckets: dict[str, int] = {}
 
@@ -67,9 +69,8 @@ def log_model(counts: dict[tuple[str, int], int]) -> dict[int, tuple[float, ...]
     for (lang, _), n in counts.items():
         totals[lang] += n
     model: dict[int, list[float]] = {}
-    floor = math.log(1e-6)
     for (lang, b), n in counts.items():
-        row = model.setdefault(b, [floor] * len(LANGS))
+        row = model.setdefault(b, [_FLOOR] * len(LANGS))
         if totals[lang] >= 200:
             row[LANGS.index(lang)] = math.log(n / totals[lang] + 1e-6)
     return {b: tuple(row) for b, row in model.items()}
@@ -83,6 +84,16 @@ def scores(words: Iterable[str], model: dict[int, tuple[float, ...]]) -> list[fl
         if row:
             for i, x in enumerate(row):
                 total[i] += x
+        known = _KNOWN_IN.get(w)
+        if known:
+            # a function word that the corpus hardly has still speaks for its languages
+            for i in known:
+                low = row[i] if row else _FLOOR
+                if low < _USUAL:
+                    total[i] += _USUAL - low
+            if not row:
+                for i in range(len(LANGS)):
+                    total[i] += _FLOOR
     return total
 
 

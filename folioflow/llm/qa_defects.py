@@ -19,12 +19,12 @@ from folioflow.session import cut
 
 # Grammars of declining, by language; they apply at the start of a sentence.
 _EN = r"(?:i['’]?m sorry|i am sorry|sorry|my apologies|i apologi[sz]e|unfortunately|regrettably|as an? (?:ai|language)[\w -]*|i regret)?[\s,.;:—–-]*(?:but\s+)?(?:i|we)(?:['’]m| am|['’]re| are)?\s*(?:can ?not|can['’]?t|could not|unable|not able|won['’]?t|will not|must decline|have to decline|decline|do not feel|don['’]t feel|not comfortable|would rather not|['’]d rather not|refuse|must refuse|am not allowed)\b"
-_DE = r"(?:es tut mir (?:sehr )?leid|leider|entschuldigung|bedauerlicherweise|tut mir leid)[\s,.;:—–-]*(?:aber\s+)?(?:ich\b|wir\b|kann ich|darf ich|ist es mir|muss ich)|(?:ich|wir) (?:kann|kannst|können|darf|dürfen|möchte|werde)\b[^.!?]{0,80}\b(?:nicht|keine|nichts)\b|ich (?:muss|möchte) [^.!?]{0,60}\bablehnen\b|ich bin nicht in der lage|dazu kann ich"
-_FR = r"(?:(?:je suis |nous sommes )?(?:vraiment )?désolée?s?|malheureusement|je regrette|toutes mes excuses)[\s,.;:—–-]*(?:mais\s+)?(?:je\b|nous\b|il m['’]est|il ne m)|je ne (?:suis|peux|puis|saurais|souhaite)\b[^.!?]{0,12}\b(?:pas|mesure)|il m['’]est impossible|je (?:refuse|dois refuser|dois décliner)"
-_ES = r"(?:lo siento|lamentablemente|desafortunadamente|lo lamento|me disculpo|disculpa)[\s,.;:—–-]*(?:pero\s+)?(?:no\b|me\b)|no (?:puedo|podemos|me es posible|me siento|estoy en condiciones|soy capaz)\b|debo (?:rechazar|declinar)|me niego"
+_DE = r"(?:es tut mir (?:sehr )?leid|leider|entschuldigung|bedauerlicherweise|tut mir leid)[\s,.;:—–-]*(?:aber\s+)?(?:ich\b|wir\b|kann ich|darf ich|ist es mir|muss ich)|(?:ich|wir) (?:kann|kannst|können|darf|dürfen|möchte|werde)\b[^.!?]{0,80}\b(?:nicht|keine|nichts)\b|ich (?:muss|möchte) [^.!?]{0,60}\bablehnen\b|ich bin nicht in der lage|dazu kann ich|als (?:ki|ai)\b[\w -]*[\s,]+(?:kann|darf|möchte|werde|muss) ich\b[^.!?]{0,80}\b(?:nicht|keine|nichts|ablehnen)\b"
+_FR = r"(?:(?:je suis |nous sommes )?(?:vraiment )?désolée?s?|malheureusement|je regrette|toutes mes excuses)[\s,.;:—–-]*(?:mais\s+)?(?:je\b|nous\b|il m['’]est|il ne m)|je ne (?:suis|peux|puis|saurais|souhaite)\b[^.!?]{0,12}\b(?:pas|mesure)|il m['’]est impossible|je (?:refuse|dois refuser|dois décliner)|en tant qu['’ ][^.!?]{0,40}\bje ne\b"
+_ES = r"(?:lo siento|lamentablemente|desafortunadamente|lo lamento|me disculpo|disculpa)[\s,.;:—–-]*(?:pero\s+)?(?:no\b|me\b)|no (?:puedo|podemos|me es posible|me siento|estoy en condiciones|soy capaz)\b|debo (?:rechazar|declinar)|me niego|como (?:ia|asistente|modelo)\b[^.!?]{0,40}\bno (?:puedo|me)\b"
 _PASSIVE = r"(?:the |this )?(?:assistant|model|system) (?:has |have )?(?:chosen|declined|declines|refused|refuses|opted|decided)\b[^.!?]{0,30}|(?:request )?declined\b|no (?:answer|response|content) (?:will|can|could) be (?:generated|given|provided)|[^.!?]{0,60}\b(?:goes against|violates|is against|falls? outside)\b[^.!?]{0,60}\b(?:guidelines|policy|policies|rules|discuss|answer)\b|[^.!?]{0,40}something i['’]d rather not\b"
 REFUSAL = re.compile(rf"(?:^|[.!?]\s+)[\s\"'“«*_(\[]*(?:{_EN}|{_DE}|{_FR}|{_ES}|{_PASSIVE})", re.I)
-_HINT = re.compile(r"sorry|apolog|can ?not|can['’]?t|unable|not able|won['’]?t|will not|declin|not feel|don['’]t feel|comfortable|rather not|refus|not allowed|leid|leider|ich |wir |désol|malheureus|regrett|je |impossible|siento|lament|disculp|no p|no me|no est|no soy|rechaz|niego|assistant|model|no (?:answer|response|content)|guidelines|polic|rules|outside", re.I)
+_HINT = re.compile(r"sorry|apolog|can ?not|can['’]?t|unable|not able|won['’]?t|will not|declin|not feel|don['’]t feel|comfortable|rather not|refus|not allowed|leid|leider|ich |wir |désol|malheureus|regrett|je |impossible|siento|lament|disculp|niego|debo|no p|no me|no est|no soy|rechaz|niego|assist|model|asisten|no (?:answer|response|content)|guidelines|polic|rules|outside", re.I)
 #: A question that is itself about declining.
 ABOUT_DECLINING = re.compile(r"\b(?:declin|refus|turns? down|turn(?:ed|ing) down|reject|lehnt|ablehn|abgelehnt|absag|verweiger|rechaz|negar|niega)", re.I)
 #: A question that asks for a word of another language.
@@ -166,8 +166,8 @@ def _end_of(text: str, options: list[str]) -> dict | None:
     base = PRIOR["option"] if whole else PRIOR["multi"] if multi else PRIOR["single"]
     if not whole and len(folded) > 1 and any(len(o) > len(folded) and o.startswith(folded) for o in options):
         base += INSIDE_OPTION
-    base += LEFT_OPEN * opened + {"open": 5.0, "marked": 2.0}.get(kind, 0.0)
-    return {"token": token if kind in ("word", "marked") else "", "base": base, "single": " " not in bare, "multi": multi}
+    base += LEFT_OPEN * opened + {"open": 5.0, "marked": 2.0, "hanging": 2.5}.get(kind, 0.0)
+    return {"token": token if kind in ("word", "marked", "hanging") else "", "base": base, "single": " " not in bare, "multi": multi}
 
 
 def _is_foreign(text: str | None, question: list[float], q_lang: int, q_script: float, model) -> bool:

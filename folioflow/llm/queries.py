@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import qa_defects, truncation
+from folioflow.llm import packing, qa_defects, quantiles, scan_noise, truncation
 from folioflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,75 @@ def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.limits(table(spark, folder, "replies"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.found(table(spark, folder, "chunks"))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, folder, "chunks"))
+
+
+PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+def _daily(spark: SparkSession, folder: str) -> DataFrame:
+    return quantiles.daily_sketches(table(spark, folder, "metrics_ingestion"), table(spark, folder, "metrics_tokenization"))
+
+
+def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["metric", "group_name"]
+    return quantiles.percentiles(quantiles.merge(_daily(spark, folder), keys), keys, PERCENTILES)
+
+
+def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["metric", "group_name", "day"]
+    return quantiles.percentiles(quantiles.merge(_daily(spark, folder), keys), keys, PERCENTILES)
+
+
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    merged = quantiles.merge(_daily(spark, folder), ["metric", "group_name"])
+    return merged.select("metric", "group_name", "n", "low", "high")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p6_containers(spark, folder), table(spark, folder, "pack_limits"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_profile": p1_profile,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p3_limits": p3_limits,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
+    "p5_percentiles": p5_percentiles,
+    "p5_daily": p5_daily,
+    "p5_counts": p5_counts,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_counts": r"""
+        WITH reads AS (
+            SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY arrived_at DESC NULLS LAST) AS r FROM metrics_ingestion
+        ), rates AS (
+            SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY arrived_at DESC NULLS LAST) AS r FROM metrics_tokenization
+        ), v AS (
+            SELECT 'duration_ms' AS metric,
+                   CASE WHEN regexp_replace(regexp_replace(coalesce(extension, ''), '^[\s.*]+', ''), '\s+$', '') = '' THEN 'unknown'
+                        ELSE lower(regexp_replace(regexp_replace(coalesce(extension, ''), '^[\s.*]+', ''), '\s+$', '')) END AS group_name,
+                   CAST(duration_ms AS DOUBLE) AS x
+            FROM reads WHERE r = 1 AND duration_ms >= 0
+            UNION ALL
+            SELECT 'tokens_per_sec', 'all', tokens_per_sec FROM rates
+            WHERE r = 1 AND tokens_per_sec >= 0 AND isfinite(tokens_per_sec)
+        )
+        SELECT metric, group_name, count(*) AS n, min(x) AS low, max(x) AS high FROM v GROUP BY ALL
+    """,
+}
