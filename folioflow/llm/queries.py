@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import packing, qa_defects, quantiles, scan_noise, truncation
+from folioflow.llm import mixing, packing, qa_defects, quantiles, reading_level, scan_noise, truncation
 from folioflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,26 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_containers(spark, folder), table(spark, folder, "pack_limits"))
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.temperature(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.profile(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_profile": p1_profile,
@@ -83,6 +103,11 @@ QUERIES: dict[str, Query] = {
     "p5_counts": p5_counts,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p7_temperature": p7_temperature,
+    "p8_levels": p8_levels,
+    "p8_profile": p8_profile,
 }
 
 ORACLES: dict[str, str] = {
