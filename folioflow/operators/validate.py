@@ -14,16 +14,29 @@ from folioflow.functions import text as tx
 OUTER = r"(?s)\{.*\}"
 
 
+def strict(text: Column) -> Column:
+    """The one JSON value that a text consists of, as VARIANT; null for none, several, or anything after it.
+
+    The parser ignores what follows a value, hence the brackets around the text.
+    """
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def _outer(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, OUTER, 0), F.lit(""))
+
+
 def recovered(text: Column | str) -> Column:
     """The JSON of a reply as VARIANT: the trimmed text, else what lies between the first and last brace; else null."""
     t = tx.trim(text)
-    return F.coalesce(F.try_parse_json(t), F.try_parse_json(F.nullif(F.regexp_extract(t, OUTER, 0), F.lit(""))))
+    return F.coalesce(strict(t), strict(_outer(t)))
 
 
 def recovery(text: Column | str) -> Column:
     """strict, extracted or invalid; null and blank texts are invalid."""
     t = tx.trim(F.coalesce(text, F.lit("")))
-    return F.when(F.try_parse_json(t).isNotNull() & (t != ""), "strict").when(F.try_parse_json(F.nullif(F.regexp_extract(t, OUTER, 0), F.lit(""))).isNotNull(), "extracted").otherwise("invalid")
+    return F.when(strict(t).isNotNull(), "strict").when(strict(_outer(t)).isNotNull(), "extracted").otherwise("invalid")
 
 
 def is_truncated(finish_reason: Column | str) -> Column:

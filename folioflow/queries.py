@@ -439,7 +439,7 @@ def strip_fence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RECOVERED = f"""{REPLIES}, b AS (SELECT *, {TRIM.format("coalesce(text, '')")} AS t FROM r WHERE status = 'ok'),
-    v AS (SELECT *, CASE WHEN t <> '' AND json_valid(t) THEN t WHEN json_valid(nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM b),
+    v AS (SELECT *, CASE WHEN t <> '' AND json_valid(t) AND NOT regexp_matches(t, ',\\s*[\\]}}]') THEN t WHEN NOT regexp_matches(t, ',\\s*[\\]}}]') AND json_valid(nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM b),
     e AS (SELECT reply_id, segment_id, unit_type, unnest(from_json(json_extract(j::JSON, '$.items'), '["JSON"]')) AS item, generate_subscripts(from_json(json_extract(j::JSON, '$.items'), '["JSON"]'), 1) - 1 AS ordinal
           FROM v WHERE j IS NOT NULL AND lower(coalesce(finish_reason, '')) <> 'length' AND json_type(j::JSON, '$.items') = 'ARRAY')"""
 
