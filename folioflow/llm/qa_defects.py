@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import endings, language
-from folioflow.session import cut
+from folioflow.session import cut, spread
 
 # Grammars of declining, by language; they apply at the start of a sentence.
 _EN = r"(?:i['’]?m sorry|i am sorry|sorry|my apologies|i apologi[sz]e|unfortunately|regrettably|as an? (?:ai|language)[\w -]*|i regret)?[\s,.;:—–-]*(?:but\s+)?(?:i|we)(?:['’]m| am|['’]re| are)?\s*(?:can ?not|can['’]?t|could not|unable|not able|won['’]?t|will not|must decline|have to decline|decline|do not feel|don['’]t feel|not comfortable|would rather not|['’]d rather not|refuse|must refuse|am not allowed)\b"
@@ -234,6 +234,7 @@ def defects(items: DataFrame, replies: DataFrame) -> DataFrame:
         F.col("item_id").cast("long"), F.col("reply_id").cast("long"), F.col("question").cast("string"),
         F.col("options").cast("array<string>"), F.col("answer").cast("string"), F.col("explanation").cast("string"),
     )
+    narrow = spread(narrow)
     counts = cut(narrow.select("question", F.array_join("options", "\n").alias("options"), "answer", "explanation").mapInArrow(
         _count, "row string, token string, bucket int, inner long, final long"
     ))

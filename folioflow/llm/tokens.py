@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import spread
+
 #: Where the vocabulary's ranks lie on every machine; a parameter, the file is not part of this package.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to that vocabulary.
@@ -43,4 +45,4 @@ def sized(documents: DataFrame, id_col: str, text_col: str, keep: list[str] | No
             sizes = pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[*batch.schema.names[:-1], "tokens"])
 
-    return narrow.mapInArrow(count, schema)
+    return spread(narrow).mapInArrow(count, schema)

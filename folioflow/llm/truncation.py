@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import endings, markup
-from folioflow.session import cut
+from folioflow.session import cut, spread
 
 _ENDING = pa.struct([("field", pa.string()), ("length", pa.int32()), ("token", pa.string()), ("kind", pa.string()), ("multi", pa.bool_()), ("single", pa.bool_())])
 _ROWS = pa.schema([
@@ -150,7 +150,7 @@ def evidence(replies: DataFrame) -> DataFrame:
         F.col("reply_id").cast("long"), F.col("arrived_at").cast("timestamp"), F.coalesce(F.col("provider"), F.lit("")).alias("source"),
         F.lower(F.trim(F.coalesce("finish_reason", F.lit("")))).alias("finish"), "text"
     )
-    return cut(rows.mapInArrow(_read, ROWS))
+    return cut(spread(rows).mapInArrow(_read, ROWS))
 
 
 def _latest(rows: DataFrame) -> DataFrame:
