@@ -28,6 +28,8 @@ FUNCTION_WORDS = {
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _KNOWN_IN = {w: [i for i, lang in enumerate(LANGS) if w in _SETS[lang]] for s in _SETS.values() for w in s}
 _FLOOR, _USUAL = math.log(1e-6), math.log(3e-3)
+_NOTHING = (0.0,) * len(LANGS)
+_BEYOND_LATIN = re.compile(r"[\u0250-\u1dff\u2c00-\U0010ffff]")
 _WORD = re.compile(r"[^\W\d_]+")
 _buckets: dict[str, int] = {}
 
@@ -54,12 +56,16 @@ def by_function_words(words: Iterable[str]) -> str | None:
 
 def count_languages(texts: Iterable[str]) -> Counter:
     """Counts of (language, bucket) over the texts whose language is plain."""
-    out: Counter = Counter()
+    by_lang: dict[str, Counter] = {}
     for text in texts:
         words = words_of(text)
         lang = by_function_words(words)
         if lang:
-            out.update((lang, bucket(w)) for w in words)
+            by_lang.setdefault(lang, Counter()).update(words)
+    out: Counter = Counter()
+    for lang, counts in by_lang.items():
+        for word, n in counts.items():
+            out[(lang, bucket(word))] += n
     return out
 
 
@@ -76,28 +82,35 @@ def log_model(counts: dict[tuple[str, int], int]) -> dict[int, tuple[float, ...]
     return {b: tuple(row) for b, row in model.items()}
 
 
-def scores(words: Iterable[str], model: dict[int, tuple[float, ...]]) -> list[float]:
-    """Log score per language over the distinct known words."""
-    total = [0.0] * len(LANGS)
+def word_scores(word: str, model: dict[int, tuple[float, ...]]) -> tuple[float, ...]:
+    """Log score of a word per language; zeros for a word that nothing is known of.
+
+    A function word that the corpus hardly has still speaks for its languages.
+    """
+    row, known = model.get(bucket(word)), _KNOWN_IN.get(word)
+    if known is None:
+        return row or _NOTHING
+    base = row or (_FLOOR,) * len(LANGS)
+    return tuple(max(x, _USUAL) if i in known else x for i, x in enumerate(base))
+
+
+def scores(words: Iterable[str], model: dict[int, tuple[float, ...]], cache: dict[str, tuple[float, ...]] | None = None) -> list[float]:
+    """Log score per language over the distinct words; ``cache`` keeps the words' scores for one model."""
+    cache = {} if cache is None else cache
+    rows = []
     for w in set(words):
-        row = model.get(bucket(w))
-        if row:
-            for i, x in enumerate(row):
-                total[i] += x
-        known = _KNOWN_IN.get(w)
-        if known:
-            # a function word that the corpus hardly has still speaks for its languages
-            for i in known:
-                low = row[i] if row else _FLOOR
-                if low < _USUAL:
-                    total[i] += _USUAL - low
-            if not row:
-                for i in range(len(LANGS)):
-                    total[i] += _FLOOR
-    return total
+        row = cache.get(w)
+        if row is None:
+            if len(cache) > 500_000:
+                cache.clear()
+            row = cache[w] = word_scores(w, model)
+        rows.append(row)
+    return [sum(column) for column in zip(*rows)] if rows else list(_NOTHING)
 
 
 def foreign_script(text: str) -> float:
     """Share of the letters that are not Latin."""
+    if text.isascii() or not _BEYOND_LATIN.search(text):
+        return 0.0
     letters = [c for c in text if c.isalpha()]
     return sum(1 for c in letters if ord(c) > 0x24F) / len(letters) if letters else 0.0

@@ -24,7 +24,11 @@ _FR = r"(?:(?:je suis |nous sommes )?(?:vraiment )?désolée?s?|malheureusement|
 _ES = r"(?:lo siento|lamentablemente|desafortunadamente|lo lamento|me disculpo|disculpa)[\s,.;:—–-]*(?:pero\s+)?(?:no\b|me\b)|no (?:puedo|podemos|me es posible|me siento|estoy en condiciones|soy capaz)\b|debo (?:rechazar|declinar)|me niego|como (?:ia|asistente|modelo)\b[^.!?]{0,40}\bno (?:puedo|me)\b"
 _PASSIVE = r"(?:the |this )?(?:assistant|model|system) (?:has |have )?(?:chosen|declined|declines|refused|refuses|opted|decided)\b[^.!?]{0,30}|(?:request )?declined\b|no (?:answer|response|content) (?:will|can|could) be (?:generated|given|provided)|[^.!?]{0,60}\b(?:goes against|violates|is against|falls? outside)\b[^.!?]{0,60}\b(?:guidelines|policy|policies|rules|discuss|answer)\b|[^.!?]{0,40}something i['’]d rather not\b"
 REFUSAL = re.compile(rf"(?:^|[.!?]\s+)[\s\"'“«*_(\[]*(?:{_EN}|{_DE}|{_FR}|{_ES}|{_PASSIVE})", re.I)
-_HINT = re.compile(r"sorry|apolog|can ?not|can['’]?t|unable|not able|won['’]?t|will not|declin|not feel|don['’]t feel|comfortable|rather not|refus|not allowed|leid|leider|ich |wir |désol|malheureus|regrett|je |impossible|siento|lament|disculp|niego|debo|no p|no me|no est|no soy|rechaz|niego|assist|model|asisten|no (?:answer|response|content)|guidelines|polic|rules|outside", re.I)
+# Substrings of which every refusal has one, in lower case: a cheap look before the grammars.
+_HINTS = tuple(
+    "sorry|apolog|regret|cannot|can not|can't|can’t|could not|unable|not able|won't|won’t|will not|declin|comfortable|rather not|refus|not allowed|leid|leider|bedauer|entschuld|ich |wir "
+    "|désol|malheureus|excuses|je |nous |impossible|siento|lament|afortunad|disculp|no pu|no po|no me|no est|no soy|rechaz|niego|debo|assistant|assistent|model|system|asistente|answer|response|guidelines|polic|rules|outside".split("|")
+)
 #: A question that is itself about declining.
 ABOUT_DECLINING = re.compile(r"\b(?:declin|refus|turns? down|turn(?:ed|ing) down|reject|lehnt|ablehn|abgelehnt|absag|verweiger|rechaz|negar|niega)", re.I)
 #: A question that asks for a word of another language.
@@ -64,7 +68,10 @@ def is_empty(answer: str | None, options: list[str]) -> bool:
 
 
 def is_refusal(text: str | None) -> bool:
-    return bool(text) and bool(_HINT.search(text)) and bool(REFUSAL.search(text))
+    if not text:
+        return False
+    low = text.lower()
+    return any(h in low for h in _HINTS) and bool(REFUSAL.search(text))
 
 
 def tile(a: list[str], q: list[str]) -> tuple[int, int]:
@@ -170,7 +177,7 @@ def _end_of(text: str, options: list[str]) -> dict | None:
     return {"token": token if kind in ("word", "marked", "hanging") else "", "base": base, "single": " " not in bare, "multi": multi}
 
 
-def _is_foreign(text: str | None, question: list[float], q_lang: int, q_script: float, model) -> bool:
+def _is_foreign(text: str | None, question: list[float], q_lang: int, q_script: float, model, cache: dict) -> bool:
     if not text:
         return False
     script = language.foreign_script(text)
@@ -179,14 +186,14 @@ def _is_foreign(text: str | None, question: list[float], q_lang: int, q_script:
     if script > 0.5:
         return False
     words = language.words_of(text)
-    s = language.scores(words, model)
+    s = language.scores(words, model, cache)
     best = max(range(len(s)), key=s.__getitem__)
     return best != q_lang and s[best] - s[q_lang] >= LANGUAGE_MARGIN and question[q_lang] - question[best] >= LANGUAGE_MARGIN / 2
 
 
 def _look(model_ref):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_ref.value
+        model, cache = model_ref.value, {}
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _SEEN}
             for item, reply, question, options, answer, explanation in zip(*(c.to_pylist() for c in batch.columns)):
@@ -204,11 +211,11 @@ def _look(model_ref):
                     folded = [_OPTION_LABEL.sub("", o.strip()).lower() for o in options]
                     ends = [e for e in (_end_of(t, folded) for t in (answer, explanation) if t and t.strip()) if e]
                     q_words = language.words_of(question)
-                    q_scores = language.scores(q_words, model)
+                    q_scores = language.scores(q_words, model, cache)
                     q_lang = max(range(len(q_scores)), key=q_scores.__getitem__)
                     script = language.foreign_script(question)
                     asks = bool(FOREIGN_WORD.search(question))
-                    foreign = bool(q_words) and ((not asks and _is_foreign(answer, q_scores, q_lang, script, model)) or _is_foreign(explanation, q_scores, q_lang, script, model))
+                    foreign = bool(q_words) and ((not asks and _is_foreign(answer, q_scores, q_lang, script, model, cache)) or _is_foreign(explanation, q_scores, q_lang, script, model, cache))
                 for name, x in zip(out, (item, reply, about, defect, foreign, ends)):
                     out[name].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=_SEEN)
