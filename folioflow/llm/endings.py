@@ -81,12 +81,13 @@ def count_tokens(texts: Iterable[str]) -> dict[str, list[int]]:
     return out
 
 
-def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta: float = 1.0, weight: float = 0.25) -> DataFrame:
-    """Counts and the cut evidence of the tokens in ``asked`` (token, ends: unmarked ends of values).
+def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta: float = 1.0, weight: float = 0.25, begun: float = 0.02) -> DataFrame:
+    """Counts and the cut evidence of the tokens in ``asked`` (token; ends: unmarked ends of values of one sentence; unmarked: all).
 
     ``counts`` has token, inner, final (partial sums are added up here). The result has
     token, ends, cut_llr, and word_llr, which only weighs a cut inside the word (for values of one word,
     which may be any word). The end asked about is itself taken out of the counts.
+    A token never seen to end a sentence gets ``alpha`` ends, or ``begun`` if longer words begin with it.
     An unmarked end counts as ``weight`` of a sentence end, since some of them are the cuts looked for.
     Every token's beginnings are counted over the whole vocabulary, after aggregation, in a shuffle
     on the beginning; no token is dropped.
@@ -97,7 +98,7 @@ def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta:
         F.coalesce(F.sum("final"), F.lit(0)).alias("finals"),
         F.coalesce(F.sum(F.col("inner") + F.col("final")), F.lit(0)).alias("words"),
     ).first()
-    ends = asked.groupBy("token").agg(F.sum("ends").alias("ends"))
+    ends = asked.groupBy("token").agg(F.sum("ends").alias("ends"), F.sum("unmarked").alias("unmarked"))
     all_ends = ends.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("n")).first().n
     longer = words.where(F.length("token") > 1).select(
         F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, 1, i))")).alias("token"),
@@ -108,11 +109,13 @@ def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta:
         .groupBy("token").agg(*[F.sum(c).alias(c) for c in ("inner", "final", "longer")])
         .join(ends, "token", "right").na.fill(0, ["inner", "final", "longer"])
     )
-    inside = F.greatest(F.col("inner") - F.col("ends"), F.lit(0)) + F.col("longer")
+    inside = F.greatest(F.col("inner") - F.col("unmarked"), F.lit(0)) + F.col("longer")
     cut = F.log((inside + beta) / F.lit(float(max(totals.places, 1))))
 
+    least = F.when(F.col("longer") > 0, begun).otherwise(alpha)
+
     def done(own: int) -> Column:
-        return F.log((F.col("final") + weight * F.greatest(F.col("ends") - own, F.lit(0)) + alpha) / F.lit(float(max(totals.finals + weight * all_ends, 1))))
+        return F.log((F.col("final") + weight * F.greatest(F.col("ends") - own, F.lit(0)) + least) / F.lit(float(max(totals.finals + weight * all_ends, 1))))
 
     alone = F.log((F.col("longer") + beta) / F.lit(float(max(totals.places, 1)))) - F.log(
         (F.col("inner") + F.col("final") + F.greatest(F.col("ends") - 1, F.lit(0)) + alpha) / F.lit(float(max(totals.words + all_ends, 1)))

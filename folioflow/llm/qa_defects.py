@@ -251,7 +251,7 @@ def defects(items: DataFrame, replies: DataFrame) -> DataFrame:
     spark = items.sparkSession
     seen = cut(narrow.mapInArrow(_look(spark.sparkContext.broadcast(model)), SEEN).dropDuplicates(["item_id"]))
     ends = seen.select("item_id", F.explode("ends").alias("e")).select("item_id", "e.*")
-    asked = ends.where("token <> ''").groupBy("token").agg(F.count_if(~F.col("multi")).alias("ends"))
+    asked = ends.where("token <> ''").groupBy("token").agg(F.count_if(~F.col("multi")).alias("ends"), F.count("*").alias("unmarked"))
     table = endings.token_table(counts.where("row = 'token'").select("token", "inner", "final"), asked)
     llr = F.coalesce(F.when(F.col("single"), F.col("word_llr")).otherwise(F.col("cut_llr")), F.lit(0.0))
     stopped = ends.join(table, "token", "left").groupBy("item_id").agg(F.max(F.col("base") + llr).alias("log_odds"))

@@ -163,7 +163,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """One row per reply: id, source, length, left_open, log_odds, field and last token of the value most likely cut, cut."""
     replies = _latest(rows)
     ends = replies.select("id", "source", F.col("length").alias("size"), F.col("octets"), F.explode("endings").alias("e")).select("id", "source", "size", "octets", "e.*")
-    asked = ends.where("token <> '' and kind in ('word', 'marked', 'hanging')").groupBy("token").agg(F.count_if(~F.col("multi")).alias("ends"))
+    asked = ends.where("token <> '' and kind in ('word', 'marked', 'hanging')").groupBy("token").agg(F.count_if(~F.col("multi")).alias("ends"), F.count("*").alias("unmarked"))
     table = endings.token_table(rows.where("row = 'token'").select("token", "inner", "final"), asked)
     text_lengths = replies.select(F.concat(F.lit("text chars "), "source").alias("measured"), "length").unionByName(
         replies.where("octets > length").select(F.concat(F.lit("text bytes "), "source").alias("measured"), F.col("octets").alias("length"))
