@@ -81,7 +81,7 @@ def count_tokens(texts: Iterable[str]) -> dict[str, list[int]]:
     return out
 
 
-def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta: float = 1.0, weight: float = 0.25, begun: float = 0.02) -> DataFrame:
+def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.5, beta: float = 1.0, weight: float = 0.25, begun: float = 0.02) -> DataFrame:
     """Counts and the cut evidence of the tokens in ``asked`` (token; ends: unmarked ends of values of one sentence; unmarked: all).
 
     ``counts`` has token, inner, final (partial sums are added up here). The result has
@@ -89,6 +89,7 @@ def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta:
     which may be any word). The end asked about is itself taken out of the counts.
     A token never seen to end a sentence gets ``alpha`` ends, or ``begun`` if longer words begin with it.
     An unmarked end counts as ``weight`` of a sentence end, since some of them are the cuts looked for.
+    The first part of a hyphenated word is a word of its own and no beginning.
     Every token's beginnings are counted over the whole vocabulary, after aggregation, in a shuffle
     on the beginning; no token is dropped.
     """
@@ -101,7 +102,7 @@ def token_table(counts: DataFrame, asked: DataFrame, alpha: float = 0.05, beta:
     ends = asked.groupBy("token").agg(F.sum("ends").alias("ends"), F.sum("unmarked").alias("unmarked"))
     all_ends = ends.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("n")).first().n
     longer = words.where(F.length("token") > 1).select(
-        F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, 1, i))")).alias("token"),
+        F.explode(F.expr("transform(filter(sequence(1, length(token) - 1), i -> substring(token, i + 1, 1) <> '-'), i -> substring(token, 1, i))")).alias("token"),
         F.lit(0).alias("inner"), F.lit(0).alias("final"), (F.col("inner") + F.col("final")).alias("longer"),
     )
     table = (
