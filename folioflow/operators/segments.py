@@ -69,11 +69,11 @@ def pieces(blocks: DataFrame) -> DataFrame:
 
 _PACK = f"""
     aggregate(pieces,
-        named_struct('done', cast(array() as array<struct<heading:string,tokens:bigint,parts:array<int>>>), 'heading', cast(null as string), 'tokens', 0L, 'parts', cast(array() as array<int>)),
+        named_struct('done', cast(array() as array<struct<heading:string,tokens:bigint,parts:array<struct<ordinal:int,part:int>>>>), 'heading', cast(null as string), 'tokens', 0L, 'parts', cast(array() as array<struct<ordinal:int,part:int>>)),
         (s, x) -> CASE
             WHEN x.kind = 'heading' THEN named_struct(
                 'done', IF(size(s.parts) > 0, array_append(s.done, named_struct('heading', s.heading, 'tokens', s.tokens, 'parts', s.parts)), s.done),
-                'heading', nullif(x.title, ''), 'tokens', 0L, 'parts', cast(array() as array<int>))
+                'heading', nullif(x.title, ''), 'tokens', 0L, 'parts', cast(array() as array<struct<ordinal:int,part:int>>))
             WHEN s.tokens > 0 AND s.tokens + x.tokens > {TARGET} THEN named_struct(
                 'done', array_append(s.done, named_struct('heading', s.heading, 'tokens', s.tokens, 'parts', s.parts)),
                 'heading', s.heading, 'tokens', x.tokens, 'parts', array(x.at))
@@ -82,7 +82,7 @@ _PACK = f"""
 """
 
 _MERGE = f"""
-    aggregate(drafts, cast(array() as array<struct<heading:string,tokens:bigint,parts:array<int>>>), (m, x) -> CASE
+    aggregate(drafts, cast(array() as array<struct<heading:string,tokens:bigint,parts:array<bigint>>>), (m, x) -> CASE
         WHEN size(m) > 0 AND element_at(m, -1).tokens + x.tokens <= {MAXIMUM} AND (element_at(m, -1).tokens < {MINIMUM} OR x.tokens < {MINIMUM})
         THEN array_append(slice(m, 1, size(m) - 1), named_struct('heading', coalesce(element_at(m, -1).heading, x.heading), 'tokens', element_at(m, -1).tokens + x.tokens, 'parts', array_append(element_at(m, -1).parts, x.at)))
         ELSE array_append(m, named_struct('heading', x.heading, 'tokens', x.tokens, 'parts', array(x.at))) END)
@@ -90,18 +90,20 @@ _MERGE = f"""
 
 
 def pack(pieces_: DataFrame) -> DataFrame:
-    """id, draft, heading, text, tokens: pieces of a section joined by spaces up to the target.
+    """id, section, draft, heading, text, tokens: pieces of a section joined by spaces up to the target.
 
-    The fold of one file sees numbers only; texts are joined back by their place. A heading without body is
-    lost, a section that is split repeats its heading.
+    A heading starts a section, and sections do not depend on one another, so that the fold runs per section and a
+    file of any number of sections is no single task. It sees numbers only; texts are joined back by their place.
+    A heading without body is lost, a section that is split repeats its heading.
     """
-    numbered = pieces_.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("ordinal", "part")))
+    opens = F.when(F.col("kind") == "heading", 1).otherwise(0).cast("long")
+    placed = ranks.running_sum(pieces_, ["id"], "ordinal", opens, "section", ["part"]).withColumn("at", F.struct("ordinal", "part"))
     title = F.when(F.col("kind") == "heading", F.col("text"))
-    lists = numbered.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "kind", title.alias("title"), "tokens"))).alias("pieces"))
-    drafts = lists.select("id", F.posexplode(F.expr(_PACK)).alias("draft", "d")).select("id", "draft", "d.heading", "d.tokens", F.explode("d.parts").alias("at"))
-    texts = drafts.join(numbered.select("id", "at", "text"), ["id", "at"])
-    joined = texts.groupBy("id", "draft").agg(F.first("heading").alias("heading"), F.first("tokens").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), " ").alias("text"))
-    return joined.select("id", "draft", "heading", tx.trim("text").alias("text"), "tokens").where("text <> ''")
+    lists = placed.groupBy("id", "section").agg(F.array_sort(F.collect_list(F.struct("at", "kind", title.alias("title"), "tokens"))).alias("pieces"))
+    drafts = lists.select("id", "section", F.posexplode(F.expr(_PACK)).alias("draft", "d")).select("id", "section", "draft", "d.heading", "d.tokens", F.explode("d.parts").alias("at"))
+    texts = drafts.join(placed.select("id", "section", "at", "text"), ["id", "section", "at"])
+    joined = texts.groupBy("id", "section", "draft").agg(F.first("heading").alias("heading"), F.first("tokens").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), " ").alias("text"))
+    return joined.select("id", "section", "draft", "heading", tx.trim("text").alias("text"), "tokens").where("text <> ''")
 
 
 def windows(drafts: DataFrame) -> DataFrame:
@@ -109,19 +111,27 @@ def windows(drafts: DataFrame) -> DataFrame:
     width = 4 * MAXIMUM
     cut = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {width}) as int) - 1), i -> substring(text, i * {width} + 1, {width}))")
     fits = drafts.where(F.col("tokens") <= MAXIMUM).withColumn("window", F.lit(0))
-    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "draft", "heading", F.posexplode(cut).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
+    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "section", "draft", "heading", F.posexplode(cut).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
     return fits.unionByName(long_.select(*fits.columns))
 
 
 def merge_small(drafts: DataFrame) -> DataFrame:
-    """id, segment, heading, text, tokens: drafts below the minimum joined to a neighbour by a line break, up to the maximum."""
-    numbered = drafts.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("draft", "window")))
-    lists = numbered.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "heading", "tokens"))).alias("drafts"))
-    merged = lists.select("id", F.posexplode(F.expr(_MERGE)).alias("segment", "m")).select("id", "segment", "m.heading", "m.tokens", F.explode("m.parts").alias("at"))
-    texts = merged.join(numbered.select("id", "at", "text"), ["id", "at"])
-    return texts.groupBy("id", "segment").agg(
-        F.first("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "\n").alias("text"), F.first("tokens").alias("tokens")
+    """id, segment, heading, text, tokens: drafts below the minimum joined to a neighbour by a line break, up to the maximum.
+
+    Two neighbours of at least the minimum never merge, whatever was merged before them, so that the fold runs
+    per run of drafts between such pairs.
+    """
+    order = Window.partitionBy("id").orderBy("section", "draft", "window")
+    narrow = drafts.select("id", "section", "draft", "window", "heading", "tokens").withColumn("before", F.lag("tokens").over(order)).withColumn("nth", F.row_number().over(order))
+    apart = F.when((F.col("before") >= MINIMUM) & (F.col("tokens") >= MINIMUM), 1).otherwise(0).cast("long")
+    runs = ranks.running_sum(narrow.withColumn("nth", F.col("nth").cast("long")), ["id"], "nth", apart, "run").withColumn("at", F.col("nth"))
+    lists = runs.groupBy("id", "run").agg(F.array_sort(F.collect_list(F.struct("at", "heading", "tokens"))).alias("drafts"))
+    merged = lists.select("id", "run", F.posexplode(F.expr(_MERGE)).alias("piece", "m")).select("id", "run", "piece", "m.heading", "m.tokens", F.explode("m.parts").alias("at"))
+    texts = runs.select("id", "at", "section", "draft", "window").join(drafts.select("id", "section", "draft", "window", "text"), ["id", "section", "draft", "window"])
+    grouped = merged.join(texts, ["id", "at"]).groupBy("id", "run", "piece").agg(
+        F.first("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "\n").alias("text"), F.first("tokens").alias("tokens"), F.min("at").alias("first")
     )
+    return ranks.rank(grouped, ["id"], "first", "segment").select("id", (F.col("segment") - 1).cast("int").alias("segment"), "heading", "text", "tokens")
 
 
 def segment(blocks: DataFrame) -> DataFrame:
