@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranks, text as tx
+from folioflow.session import cut
 
 TARGET, MAXIMUM, MINIMUM = 1100, 1800, 150
 # Abbreviations whose full stop ends no sentence.
@@ -109,9 +110,9 @@ def pack(pieces_: DataFrame) -> DataFrame:
 def windows(drafts: DataFrame) -> DataFrame:
     """Drafts beyond the maximum cut into windows of 4 * maximum characters, blank ones dropped; others unchanged."""
     width = 4 * MAXIMUM
-    cut = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {width}) as int) - 1), i -> substring(text, i * {width} + 1, {width}))")
+    slices = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {width}) as int) - 1), i -> substring(text, i * {width} + 1, {width}))")
     fits = drafts.where(F.col("tokens") <= MAXIMUM).withColumn("window", F.lit(0))
-    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "section", "draft", "heading", F.posexplode(cut).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
+    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "section", "draft", "heading", F.posexplode(slices).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
     return fits.unionByName(long_.select(*fits.columns))
 
 
@@ -135,8 +136,11 @@ def merge_small(drafts: DataFrame) -> DataFrame:
 
 
 def segment(blocks: DataFrame) -> DataFrame:
-    """Blocks (id, ordinal, kind, text) into segments (id, segment, heading, text, tokens)."""
-    return merge_small(windows(pack(pieces(blocks))))
+    """Blocks (id, ordinal, kind, text) into segments (id, segment, heading, text, tokens).
+
+    Pieces and drafts are each read several times, hence written once to the shared folder.
+    """
+    return merge_small(cut(windows(pack(cut(pieces(blocks))))))
 
 
 def number(segments: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
