@@ -136,23 +136,44 @@ def sketches(rows: DataFrame, keys: list[str], value: str, k: int = K) -> DataFr
 def merge(parts: DataFrame, keys: list[str], k: int = K, fan: int = 32) -> DataFrame:
     """The merged sketch of each group. Two steps, so that a group of very many parts is no single task.
 
-    ``parts`` are sketches of tasks, days, files or of anything else over other values.
+    ``parts`` are sketches of tasks, days, files or of anything else over other values. A task reads its groups one
+    after another from sorted rows and holds one sketch at a time.
     """
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name in keys)
     schema = (plain + ", " if plain else "") + SKETCH
+    width, fields = len(keys), [n for n, _ in _ARROW]
 
-    def together(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "low", "high"], kind="stable")
-        head = {c: [frame[c].iloc[0]] for c in keys}
-        total = Sketch(_seed(len(frame), int(frame.n.sum()), float(frame.spread.sum())), k)
-        for r in frame.itertuples(index=False):
-            total.merge(int(r.n), r.low, r.high, r.spread, r.levels)
-        return pd.DataFrame(head | {f: [x] for (f, _), x in zip(_ARROW, total.row())})
-
-    narrow = parts.select(*keys, *(n for n, _ in _ARROW))
-    salted = narrow.withColumn("__salt", (F.abs(F.xxhash64("n", "low", "high", "spread")) % fan).cast("int"))
-    first = salted.groupBy(*keys, "__salt").applyInPandas(lambda f: together(f), schema)
-    return first.groupBy(*keys).applyInPandas(lambda f: together(f), schema)
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, done, types = None, None, [], None
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[0][i] for r in done], types[i]) for i in range(width)]
+            rows = [pa.array([r[1][j] for r in done], t) for j, (_, t) in enumerate(_ARROW)]
+            return pa.RecordBatch.from_arrays([*columns, *rows], names=[*keys, *fields])
+
+        for batch in batches:
+            types = [f.type for f in batch.schema][:width]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                own = row[: width + 1]
+                if total is None or own != key:
+                    if total is not None:
+                        done.append((key[:width], total.row()))
+                    key, total = own, Sketch(_seed(own, *row[width + 1 : width + 5]), k)
+                total.merge(*row[width + 1 :])
+            if len(done) >= 512:
+                yield flush()
+                done = []
+        if total is not None:
+            done.append((key[:width], total.row()))
+            yield flush()
+
+    def step(rows: DataFrame, salt) -> DataFrame:
+        salted = rows.select(*keys, salt.alias("__salt"), *fields)
+        order = [*keys, "__salt"]
+        return salted.repartition(*order).sortWithinPartitions(*order, "n", "low", "high", "spread").mapInArrow(together, schema)
+
+    first = step(parts, (F.abs(F.xxhash64("n", "low", "high", "spread")) % fan).cast("int"))
+    return step(first, F.lit(0))
 
 
 def percentiles(merged: DataFrame, keys: list[str], at: list[float], delta: float = DELTA) -> DataFrame:
