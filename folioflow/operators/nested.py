@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 ADJACENCY = "record_id string, node string, parent string, owner string, label string, ordinal int, kind string, scalar string"
 _FIELDS = ("record_id", "node", "parent", "owner", "label", "ordinal", "kind", "scalar")
 _ARROW = pa.schema([(f, pa.int32() if f == "ordinal" else pa.string()) for f in _FIELDS])
+_PLACED = _ARROW.append(pa.field("place", pa.int32()))
 _OPEN = re.compile(r"[\[{]")
 _DECODER = json.JSONDecoder(strict=False)
 _FLUSH = 50_000
+# The keys under which the nodes of a tree hold further nodes.
+TREE = ("branches", "children", "nodes", "subtopics")
 
 
 def outermost(content: str | None):
@@ -59,17 +62,25 @@ def _prose_bracket(text: str, start: int) -> bool:
 
 
 def _walk(record_id, value, out: dict[str, list]) -> None:
-    """Append the adjacency rows of one value, without recursion."""
-    stack = [("$", None, None, None, None, value)]
+    """Append the adjacency rows of one value, without recursion.
+
+    Where ``out`` has ``place``, objects are numbered in it (the outermost value is 0); other values have the number of the
+    object around them, which tells objects apart whose keys with dots or brackets spell the same path.
+    """
+    stack = [("$", None, None, None, None, 0, value)]
+    objects, placed = 0, out.get("place")
     while stack:
-        node, parent, owner, label, ordinal, v = stack.pop()
+        node, parent, owner, label, ordinal, place, v = stack.pop()
         if isinstance(v, dict):
             kind, scalar = "object", None
-            stack.extend((f"{node}.{k}", node, node, k, i, x) for i, (k, x) in enumerate(v.items()))
+            if parent is not None:
+                objects += 1
+                place = objects
+            stack.extend((f"{node}.{k}", node, node, k, i, place, x) for i, (k, x) in enumerate(v.items()))
         elif isinstance(v, list):
             kind, scalar = "array", None
             around = node if parent is None else owner
-            stack.extend((f"{node}[{i}]", node, around, label, i, x) for i, x in enumerate(v))
+            stack.extend((f"{node}[{i}]", node, around, label, i, place, x) for i, x in enumerate(v))
         elif v is None:
             kind, scalar = "null", None
         elif isinstance(v, str):
@@ -80,40 +91,49 @@ def _walk(record_id, value, out: dict[str, list]) -> None:
             kind, scalar = "number", json.dumps(v)
         for field, x in zip(_FIELDS, (record_id, node, parent, owner, label, ordinal, kind, scalar)):
             out[field].append(x)
+        if placed is not None:
+            placed.append(place)
 
 
 def _clean(names: list) -> list:
     return [x if x is None or x.isascii() else x.encode("utf-8", "replace").decode() for x in names]
 
 
-def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shred(batches: Iterator[pa.RecordBatch], schema: pa.Schema = _ARROW) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {f: [] for f in _FIELDS}
+        out: dict[str, list] = {f: [] for f in schema.names}
         for record_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             value = outermost(content)
             if value is not None:
                 _walk(record_id, value, out)
             if len(out["node"]) > _FLUSH:
-                yield _batch(out)
-                out = {f: [] for f in _FIELDS}
-        yield _batch(out)
+                yield _batch(out, schema)
+                out = {f: [] for f in schema.names}
+        yield _batch(out, schema)
+
 
+def _shred_placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _shred(batches, _PLACED)
 
-def _batch(out: dict[str, list]) -> pa.RecordBatch:
+
+def _batch(out: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     for field in ("node", "parent", "owner", "label"):
         out[field] = _clean(out[field])
-    return pa.RecordBatch.from_pydict(out, schema=_ARROW)
+    return pa.RecordBatch.from_pydict(out, schema=schema)
 
 
-def shred(records: DataFrame, id_col: str, content_col: str) -> DataFrame:
+def shred(records: DataFrame, id_col: str, content_col: str, places: bool = False) -> DataFrame:
     """The adjacency table (``ADJACENCY``) of the JSON in ``content_col``.
 
     Equal copies of a record count once. Null, blank, unreadable and incomplete content, a bare
     scalar, and nesting beyond the JSON parser's stack (thousands of levels) give no rows. Of a key
-    that an object repeats, the last value counts. Other columns of ``records`` are not read.
+    that an object repeats, the last value counts. Other columns of ``records`` are not read. With ``places`` there is
+    the column ``place`` too, as ``entities`` needs it.
     """
     narrow = records.select(F.col(id_col).cast("string").alias("record_id"), F.col(content_col).cast("string").alias("content"))
-    return narrow.where(F.col("content").isNotNull()).dropDuplicates().mapInArrow(_shred, ADJACENCY)
+    return narrow.where(F.col("content").isNotNull()).dropDuplicates().mapInArrow(
+        _shred_placed if places else _shred, ADJACENCY + ", place int" if places else ADJACENCY
+    )
 
 
 def object_links(adjacency: DataFrame) -> DataFrame:
@@ -162,6 +182,50 @@ def entity_table(adjacency: DataFrame, entity: str, columns: list[str], recursiv
     return grouped.where("is_node").drop("is_node")
 
 
+def tree_entity_of(path) -> F.Column:
+    """``entity_of``, but with each run of ``TREE`` keys as one ``.tree``, so that all levels of a tree are one entity."""
+    return F.regexp_replace(entity_of(path), rf"(?:\.(?:{'|'.join(TREE)})(?=\.|$))+", ".tree")
+
+
+def entities(adjacency: DataFrame) -> DataFrame:
+    """The flat tables of all entities in one: a row per object, with all its scalars in the map ``fields``.
+
+    ``adjacency`` has ``place``. Object nodes and their scalar children meet on (record, object) in one grouping. A field's
+    key is its path from the object (``label``, ``tags[0]`` for a scalar in an array); null is a null value, an absent
+    field no key. Two scalars whose keys spell the same path share a field, as a JSON array of both. The
+    outermost value is a row too (entity ``$``, no parent), so that each parent_path has its row.
+    """
+    is_own = (F.col("kind") == "object") | F.col("parent").isNull()
+    leaf = ~F.col("kind").isin("object", "array") & F.col("parent").isNotNull()
+    name = F.regexp_replace(F.expr("substring(node, length(owner) + 1)"), r"^\.", "")
+    rows = adjacency.where(is_own | leaf).select(
+        "record_id",
+        F.when(is_own, F.col("node")).otherwise(F.col("owner")).alias("path"),
+        "place",
+        F.when(is_own, F.length("owner")).alias("parent_size"),
+        F.when(is_own, F.col("ordinal")).alias("position"),
+        F.when(leaf, F.struct(name.alias("field"), "scalar")).alias("entry"),
+    )
+    grouped = rows.groupBy("record_id", "path", "place").agg(
+        F.max("parent_size").alias("parent_size"), F.max("position").alias("position"), F.collect_list("entry").alias("entries")
+    )
+    parent = F.expr("substring(path, 1, parent_size)")  # a path begins with its parent's: only the length is shuffled
+    names, once = F.col("entries.field"), F.array_distinct("entries.field")
+
+    def value(field: F.Column) -> F.Column:
+        same = F.transform(F.filter("entries", lambda e: e["field"] == field), lambda e: e["scalar"])
+        return F.when(F.size(same) == 1, same[0]).otherwise(F.to_json(F.array_sort(same)))
+
+    fields = F.when(F.size(names) == F.size(once), F.map_from_entries("entries")).otherwise(F.map_from_arrays(once, F.transform(once, value)))
+    return grouped.select("record_id", tree_entity_of(F.col("path")).alias("entity"), "path", parent.alias("parent_path"), "position", fields.alias("fields"))
+
+
+def tree_table(adjacency: DataFrame) -> DataFrame:
+    """The nodes of trees under all ``TREE`` keys: path, parent path, position, label, weight, and all fields."""
+    nodes = entities(adjacency).where(F.col("entity").endswith(".tree"))
+    return nodes.select("record_id", "path", "parent_path", "position", F.col("fields")["label"].alias("field_label"), F.col("fields")["weight"].alias("field_weight"), "fields")
+
+
 def entity_catalog(adjacency: DataFrame) -> DataFrame:
     """How many objects each entity has, and in how many records; one row per entity path."""
     objects = adjacency.where(F.col("kind") == "object")

@@ -655,6 +655,18 @@ def p2_entity_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return nested.entity_catalog(_artifact_nodes(spark, folder))
 
 
+@query()
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per object of any entity, the outermost ones too, with its scalars."""
+    return nested.entities(nested.shred(table(spark, folder, "artifacts"), "id", "content", places=True))
+
+
+@query()
+def p2_mindmap_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of mind maps under all their keys, each linked to the node or map that holds it."""
+    return nested.tree_table(nested.shred(table(spark, folder, "artifacts"), "id", "content", places=True))
+
+
 @query()
 def p2_rubric_levels(spark: SparkSession, folder: str) -> DataFrame:
     return nested.entity_table(_artifact_nodes(spark, folder), "$.rubric.levels", ["score", "descriptor"])

@@ -78,3 +78,27 @@ def test_empty_and_long(spark):
     deep = "[" * 100_000 + "]" * 100_000
     wide = json.dumps({"a": [{"b": "x" * 1000}] * 3000})
     assert len(links(spark, [("deep", deep), ("wide", wide)])) == 3000
+
+
+def test_all_objects_have_a_row_with_their_fields(spark):
+    tree = {"topic": "t", "branches": [{"label": "a", "nodes": [{"label": "b", "weight": 2, "subtopics": ["s", {"label": "c"}]}]}], "meta": {"usage": {"n": 1, "m": None}, "tags": [["x"], {}]}}
+    odd = [{"a.b": {"x": 1}, "a": {"b": {"x": 2}}, "t": ["p"], "t[0]": "q"}, 7]
+    df = spark.createDataFrame([("m", json.dumps(tree)), ("m", json.dumps(tree)), ("o", json.dumps(odd)), ("cut", "{")], "id string, content string")
+    adjacency = nested.shred(df, "id", "content", places=True)
+    rows = sorted(((r.record_id, r.entity, r.path, r.parent_path, r.position, r.fields) for r in nested.entities(adjacency).collect()), key=str)
+    assert rows == sorted([
+        ("m", "$", "$", None, None, {"topic": "t"}),
+        ("m", "$.tree", "$.branches[0]", "$", 0, {"label": "a"}),
+        ("m", "$.tree", "$.branches[0].nodes[0]", "$.branches[0]", 0, {"label": "b", "weight": "2", "subtopics[0]": "s"}),
+        ("m", "$.tree", "$.branches[0].nodes[0].subtopics[1]", "$.branches[0].nodes[0]", 1, {"label": "c"}),
+        ("m", "$.meta", "$.meta", "$", 2, {"tags[0][0]": "x"}),
+        ("m", "$.meta.usage", "$.meta.usage", "$.meta", 0, {"n": "1", "m": None}),
+        ("m", "$.meta.tags", "$.meta.tags[1]", "$.meta", 1, {}),
+        ("o", "$", "$", None, None, {"[1]": "7"}),
+        ("o", "$", "$[0]", "$", 0, {"t[0]": '["p","q"]'}),
+        ("o", "$.a.b", "$[0].a.b", "$[0]", 0, {"x": "1"}),
+        ("o", "$.a", "$[0].a", "$[0]", 1, {}),
+        ("o", "$.a.b", "$[0].a.b", "$[0].a", 0, {"x": "2"}),
+    ], key=str)
+    nodes = {r.path: (r.parent_path, r.field_label, r.field_weight) for r in nested.tree_table(adjacency).collect()}
+    assert nodes == {"$.branches[0]": ("$", "a", None), "$.branches[0].nodes[0]": ("$.branches[0]", "b", "2"), "$.branches[0].nodes[0].subtopics[1]": ("$.branches[0].nodes[0]", "c", None)}
