@@ -116,8 +116,8 @@ def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[s
     commas, semicolons = text.count(","), text.count(";") + text.count(":") + text.count("—") + text.count("(")
     return [
         math.log(n), length / n, long_ / n, syllables / n, math.log(n / m), math.log(max(units, default=1)), math.log(len(counts) + 1) / math.log(n + 1), window, rarity / n, rare / n,
-        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, (commas + connectives + subordinators) / m, sum(c.isdigit() for c in low[:2000]) / min(len(low), 2000) if low else 0.0,
-        sum(1 for c in text if c.isupper()) / max(len(text), 1), short / n, text.count("?") / m,
+        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, (commas + connectives + subordinators) / m, sum(map(str.isdigit, low)) / len(low),
+        sum(map(str.isupper, text)) / max(len(text), 1), short / n, text.count("?") / m,
     ]
 
 

@@ -61,3 +61,10 @@ def test_held_out_accuracy(spark):
     none = rl.levels(d, lab.limit(0)).where("doc_id = 1").first()
     assert none.expected_level == 3.0 or abs(none.expected_level - 3) < 1e-6
     assert rl.levels(d.limit(0), lab).count() == 0
+
+
+def test_digits_count_over_the_whole_text():
+    cells = np.zeros(rl.WIDTH * rl.DEPTH, dtype=np.int64)
+    text = "word " * 600 + "12345 " * 500
+    row = rl.features_of(text, cells, 100.0, {})
+    assert row[rl.FEATURES.index("digits")] == 2500 / 6000
