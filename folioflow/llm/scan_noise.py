@@ -33,6 +33,8 @@ CONFUSED, EDITED, BOUND = 1, 2, 2
 #: How many times more often the right word must occur than the wrong one, per confusion, and at least; a
 #: word with a digit or symbol between letters needs a right word that occurs twice, and as often as it.
 RATIO, LEAST = 6.0, 5
+#: A word seen once, of so many characters, may be one confusion away from a right word that occurs so often.
+LONG, FEW = 6, 3
 WORD_MAX = 40
 # Conjunctions after a suspended hyphen.
 SUSPENDED = ("and", "or", "to", "und", "oder", "bis", "sowie", "et", "ou", "y", "e", "o", "u", "ed")
@@ -199,7 +201,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node[""] = True
                 counts[word] = n
                 most = max(most, n)
-            elif trie and (RATIO * n <= most or not word.isalpha()):
+            elif trie and (RATIO * n <= most or not word.isalpha() or (n <= 1 and most >= FEW and len(word) >= LONG)):
+                # No other word can stand the tests of misread().
                 for right, cost, confused in candidates(word, trie):
                     for name, x in zip(out, (word, n, right, counts[right], cost, confused)):
                         out[name].append(x)
@@ -232,7 +235,7 @@ def misread(vocab: DataFrame) -> DataFrame:
     hits = both.mapInArrow(_search, "wrong string, n long, right string, right_n long, cost int, confused boolean")
     score = F.log("right_n") - F.log(F.col("n") + 1.0) - F.col("cost") * F.log(F.lit(RATIO))
     often = (F.col("right_n") >= LEAST) & (F.col("right_n") >= F.col("n") * F.pow(F.lit(RATIO), F.col("cost")))
-    often = often | ((F.col("right_n") >= 3) & (F.col("n") <= 1) & (F.col("cost") == CONFUSED) & (F.length("wrong") >= 6))
+    often = often | ((F.col("right_n") >= FEW) & (F.col("n") <= 1) & (F.col("cost") == CONFUSED) & (F.length("wrong") >= LONG))
     marked = F.col("wrong").rlike(r"\p{L}.*[0-9@|$!]|[0-9@|$!].*\p{L}.*\p{L}") & (F.col("right_n") >= F.col("n")) & (F.length("wrong") >= 3)
     good = hits.where(F.col("confused") & (often | marked))
     return good.select("wrong", "right", score.alias("score")).dropDuplicates(["wrong", "right"])

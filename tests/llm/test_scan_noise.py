@@ -135,3 +135,12 @@ def test_hyphens_of_the_wording_stay(spark):
     df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
     assert [tuple(r) for r in sn.found(df).where("noise_kind = 'hyphen_break'").collect()] == []
     assert sn.found(df.limit(0)).count() == 0 and sn.repaired(df.limit(0)).count() == 0
+
+
+def test_a_long_rare_word_is_looked_up_whatever_else_its_shard_holds(spark):
+    counts = [("wasserdarnm", 1, 0), ("wasserdamm", 3, 0), ("zollbeamter", 4, 0), ("zollbearnter", 1, 0), ("mauer", 3, 0), ("rnauer", 1, 0), ("kuhstall", 2, 0), ("kuhsta11", 1, 0)]
+    vocab = spark.createDataFrame(counts, "word string, n long, joins long")
+    pairs = {(r.wrong, r.right) for r in sn.misread(vocab).collect()}
+    others = [(f"{w[0]}{'x' * (len(r) - 2)}{w[-1]}", 90, 0) for w, r in (("wasserdarnm", "wasserdamm"), ("zollbearnter", "zollbeamter"))]
+    crowded = {(r.wrong, r.right) for r in sn.misread(vocab.unionByName(spark.createDataFrame(others, vocab.schema))).collect()}
+    assert pairs == crowded and {("wasserdarnm", "wasserdamm"), ("zollbearnter", "zollbeamter")} <= pairs
