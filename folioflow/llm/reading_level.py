@@ -111,7 +111,7 @@ def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[s
         subordinators += f[4] * k
     units = [u for u in (s.count(" ") + 1 for s in _UNIT.split(text) if s and s.strip()) if u]
     m = max(1, len(units))
-    windows = range(0, max(1, n - 49), 50)
+    windows = [*range(0, max(1, n - 49), 50), *([n - 50] if n > 50 and n % 50 else [])]  # the last one ends with the text
     window = sum(len(set(words[i : i + 50])) / min(50, n - i) for i in windows) / len(windows)
     commas, semicolons = text.count(","), text.count(";") + text.count(":") + text.count("—") + text.count("(")
     return [

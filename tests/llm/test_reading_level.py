@@ -68,3 +68,11 @@ def test_digits_count_over_the_whole_text():
     text = "word " * 600 + "12345 " * 500
     row = rl.features_of(text, cells, 100.0, {})
     assert row[rl.FEATURES.index("digits")] == 2500 / 6000
+
+
+def test_windows_reach_the_last_word():
+    cells = np.zeros(rl.WIDTH * rl.DEPTH, dtype=np.int64)
+    at, names = rl.FEATURES.index("window_diversity"), ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(100)]
+    diversity = lambda words: rl.features_of(" ".join(words), cells, 100.0, {})[at]
+    assert diversity(names[:50] + ["same"] * 49) == (1 + 2 / 50) / 2
+    assert diversity(names[:50]) == diversity(names) == 1 and diversity(["same"] * 100) == 1 / 50 and diversity(["same"] * 20) == 1 / 20
