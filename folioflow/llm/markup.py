@@ -7,6 +7,8 @@ import re
 
 _DECODER = json.JSONDecoder(strict=False)
 _OPEN = re.compile(r"[\[{]")
+#: A bracket that opens JSON wherever it stands in prose: objects with a key, arrays of anything but numbers (these only where left open).
+_VALUE = re.compile(r"""\{\s*(?:["'}]|$|[A-Za-z_]\w*\s*:\s*(?:["'\[{\d-]|true\b|false\b|null\b|$))|\[\s*(?:["'{]|\[\s*["'{\[\d]|-?\d[^\]]*$)""")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}:,]|(?<=[\[{,:\s])\'', re.S)
 _QUOTE_END = re.compile(r"(?<!\\)'(?=\s*[,:}\]])")
 _PAIR = {"]": "[", "}": "{"}
@@ -86,21 +88,20 @@ def scan(text: str, start: int) -> tuple[bool, list[tuple[str, str]], int]:
 def carried(text: str) -> tuple[bool, list[tuple[str, str]]]:
     """(left open, values) of a reply: the strings of its JSON payload and the prose around it.
 
-    A reply without payload is one value of the field ``prose``; prose after a payload is ``after``.
+    A reply without payload is one value of the field ``prose``; prose after a payload is ``after``. A bracket near the
+    beginning is taken for the payload's unless it is a remark ("[sic]"); further on it must look like JSON.
     """
     body = text.strip().lstrip("﻿")
     at = _OPEN.search(body)
     fenced = body.startswith("```")
-    if at is None or (at.start() > 200 and not fenced):
+    if at is not None and ((at.start() > 200 and not fenced) or (at[0] == "[" and not re.match(r"\[\s*[\[{\"'\]\d]", body[at.start() : at.start() + 20]))):
+        at = _VALUE.search(body, at.start())
+    if at is None:
         return False, [("prose", body)] if body else []
-    if text[at.start() : at.start() + 1] == "[" and not re.match(r"\[\s*[\[{\"'\]\d]", body[at.start() : at.start() + 20]):
-        return False, [("prose", body)]
     try:
         value, end = _DECODER.raw_decode(body, at.start())
         left_open, values = False, strings_of(value)
-    except RecursionError:
-        return False, []
-    except ValueError:
+    except (ValueError, RecursionError):
         left_open, values, end = scan(body, at.start())
     if left_open:
         return True, values

@@ -89,3 +89,14 @@ def test_limits_and_empty(spark):
     assert tr.found(df).count() == 0 and tr.rates(df).count() == 0
     lengths = spark.createDataFrame([("s", 700)] * 60 + [("s", 300 + 3 * i) for i in range(200)], "measured string, length int")
     assert [(r.length, r.n) for r in tr.censoring(lengths).collect()] == [(700, 60)]
+
+
+def test_payload_after_a_long_lead_in_or_a_remark_and_deep_nesting():
+    lead = "These are the questions that you asked for, with their answers. " * 6
+    assert markup.carried(lead + '{"a": ["b') == (True, []) and markup.carried(lead + '{"a": "b"}') == (False, [("a", "b")])
+    assert markup.carried("[Note] As you wished:\n" + '{"a": "b", "c": {') == (True, [("a", "b")])
+    assert markup.carried("  [Note] As you wished:\n" + '{"a": "b"}') == (False, [("a", "b")])
+    for prose in (lead + "See [12], {x} and [sic].", lead + "The set {x: x > 0} is open.", "[Note] Nothing else [3, 4] here."):
+        assert markup.carried(prose) == (False, [("prose", prose)])
+    deep = '{"a": "b", "c": ' + "[" * 50_000
+    assert markup.carried(deep) == (True, [("a", "b")]) and markup.carried(deep + "]" * 50_000 + "}") == (False, [("a", "b")])
