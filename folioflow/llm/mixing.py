@@ -72,6 +72,11 @@ def plan(sources: list[tuple[str, float, int, int]], size: int | None = None) ->
     return exponent, {s: (w, min(w * wanted, float(c))) for (s, _, c), w in zip(can, weights(exponent))}
 
 
+def _wanted(size: int | str | None, sources: list[tuple[str, float, int, int]]) -> int | None:
+    """The size in tokens; ``supply`` is that of all documents of the listed sources, once each."""
+    return sum(tokens for _, _, _, tokens in sources) if size == "supply" else size
+
+
 def _sized(documents: DataFrame, path: str) -> DataFrame:
     return cut(sized(documents, "doc_id", "text", ["source"], path))
 
@@ -108,7 +113,7 @@ def _uses(sizes: DataFrame, budgets: dict[str, tuple[float, float]], sources: li
     return plain.unionByName(crossing).where("uses > 0")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 7, path: str = RANKS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, size: int | str | None = None, seed: int = 7, path: str = RANKS) -> DataFrame:
     """doc_id, source, use, tokens, position: one row per use of a document.
 
     Positions in [0, 1) put the uses into one order in which every source is spread evenly and each pass is
@@ -117,18 +122,18 @@ def mixture(documents: DataFrame, targets: DataFrame, size: int | None = None, s
     """
     sizes = _sized(documents, path)
     sources = _listed(sizes, targets)
-    _, budgets = plan(sources, size)
+    _, budgets = plan(sources, _wanted(size, sources))
     uses = _uses(sizes, budgets, sources, seed)
     rows = uses.withColumn("use", F.explode(F.sequence(F.lit(0), (F.col("uses") - 1).cast("int"))))
     chance = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "use"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.select("doc_id", "source", "use", "tokens", ((F.col("use") + chance) / F.col("uses")).alias("position"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 7, path: str = RANKS) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, size: int | str | None = None, seed: int = 7, path: str = RANKS) -> DataFrame:
     """Per listed source: target and actual share, tokens there and used, most uses of a document, and the exponent."""
     sizes = _sized(documents, path)
     sources = _listed(sizes, targets)
-    exponent, budgets = plan(sources, size)
+    exponent, budgets = plan(sources, _wanted(size, sources))
     used = _uses(sizes, budgets, sources, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"), F.count("*").alias("documents_used"))
     spark = documents.sparkSession
     rows = [(s, share, repeats, tokens, budgets.get(s, (0.0, 0.0))[0]) for s, share, repeats, tokens in sources]

@@ -78,6 +78,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
 
+def p7_supply_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture as large as the listed sources: tempered weights, as near to the targets as the repeats allow."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"), size="supply")
+
+
+def p7_supply_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"), size="supply")
+
+
 def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.temperature(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
@@ -105,6 +114,8 @@ QUERIES: dict[str, Query] = {
     "p6_fill": p6_fill,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_supply_mixture": p7_supply_mixture,
+    "p7_supply_shares": p7_supply_shares,
     "p7_temperature": p7_temperature,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,

@@ -99,3 +99,14 @@ def test_mixture(spark):
     assert all(more[s].most_uses == most[s] for s in most) and more["s1"].exponent < 1
     assert mixing.mixture(docs.limit(0), targets).count() == 0 and mixing.shares(docs.limit(0), targets).count() == 5
     assert mixing.temperature(docs, targets).count() == 5
+
+
+def test_mixture_of_the_size_of_the_supply(spark):
+    docs = spark.createDataFrame(documents(spark, 1200), DOCS).repartition(4)
+    targets = spark.createDataFrame([("s0", 0.1, 2), ("s1", 0.6, 3), ("s2", 0.3, 2)], "source string, target_share double, max_repeats int")
+    whole = {r.source: r for r in mixing.shares(docs, targets, size="supply").collect()}
+    exact = {r.source: r for r in mixing.shares(docs, targets).collect()}
+    there = sum(r.tokens_there for r in whole.values())
+    assert sum(r.tokens_used for r in whole.values()) == pytest.approx(there, rel=0.02)
+    assert all(whole[s].most_uses <= n for s, n in (("s0", 2), ("s1", 3), ("s2", 2))) and 0 < whole["s0"].exponent <= 1 == exact["s0"].exponent
+    assert sum(r.tokens for r in mixing.mixture(docs, targets, size="supply").collect()) == sum(r.tokens_used for r in whole.values())
