@@ -40,7 +40,10 @@ def core(raw: str) -> str:
     if found is None:
         if len(_cores) > 500_000:
             _cores.clear()
-        found = _cores[raw] = _DIGITS.sub("0", raw.strip(EDGE).lower())[:64]
+        found = _DIGITS.sub("0", raw.strip(EDGE).lower())
+        if not found.isascii():
+            found = found.encode("utf-8", "replace").decode()  # half a surrogate pair is no text
+        _cores[raw] = found
     return found
 
 

@@ -32,6 +32,11 @@ def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.limits(table(spark, folder, "replies"))
 
 
+def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What the censoring posterior and the nesting each decide."""
+    return truncation.ablation(table(spark, folder, "replies"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.found(table(spark, folder, "chunks"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p3_limits": p3_limits,
+    "p3_evidence": p3_evidence,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_percentiles": p5_percentiles,

@@ -87,8 +87,47 @@ def test_found_on_planted_cuts(spark):
 def test_limits_and_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert tr.found(df).count() == 0 and tr.rates(df).count() == 0
-    lengths = spark.createDataFrame([("s", 700)] * 60 + [("s", 300 + 3 * i) for i in range(200)], "measured string, length int")
-    assert [(r.length, r.n) for r in tr.censoring(lengths).collect()] == [(700, 60)]
+    assert tr.ablation(df).count() == 0 and tr.limits(df).count() == 0
+    lengths = spark.createDataFrame([("s", "", 700, 700)] * 60 + [("s", "", 300 + 3 * i, 302 + 3 * i) for i in range(200)], "source string, field string, length int, octets int")
+    assert {(r.unit, r.length, r.n) for r in tr.censoring(lengths).collect()} == {("chars", 700, 60), ("bytes", 700, 60)}
+
+
+def _sentences(rng, n):
+    nouns = ["river", "mountain", "village", "harvest", "reservoir", "boundary", "question", "measurement"]
+    return " ".join(f"The {rng.choice(nouns)} {rng.choice(['follows', 'precedes', 'meets'])} the {rng.choice(nouns)} {rng.choice(['again', 'at last', 'in the north'])}." for _ in range(n))
+
+
+def test_cuts_that_only_the_length_tells(spark):
+    """Texts and values cut at a limit that end on a full stop or a whole word, in characters and in bytes; complete ones of the same kinds stay."""
+    rng = random.Random(11)
+    rows, planted = [], set()
+
+    for i in range(1600):
+        source = "abc"[i % 3]
+        whole = _sentences(rng, rng.randrange(3, 30))
+        if source == "a" and len(whole) > 800:  # a provider that stores 800 characters, here always up to a full stop
+            text, _ = _sentences(rng, 40)[:799] + ".", planted.add(i)
+        elif source == "b":  # a field of 300 bytes in a payload that is closed
+            cut = len(whole) > 300
+            value = whole if not cut else whole.replace("north", "nörth").encode()[:299].decode("utf-8", "ignore")
+            if cut:
+                value += "." * (300 - len(value.encode()))
+                planted.add(i)
+            text = json.dumps({"items": [{"question": "Which one?", "explanation": value, "answer": _sentences(rng, 2)}]}, ensure_ascii=False)
+        else:
+            text = whole
+        rows.append((i, source, "ok", "stop", text, None, 1))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.reply_id for r in tr.found(df).collect()}
+    assert len(planted) > 300 and len(got & planted) / len(planted) > 0.97 and len(got - planted) < 10, (len(planted), len(got & planted), len(got - planted))
+    told = {r.source: r for r in tr.ablation(df).collect()}
+    assert told["a"].only_by_length > 100 and told["b"].only_by_length > 100 and told["c"].only_by_length == 0
+    assert {(r.source, r.field, r.unit, r.length) for r in tr.limits(df).where("posterior > 0.95").collect()} >= {("a", "", "chars", 800), ("b", "explanation", "bytes", 300)}
+
+
+def test_tokens_longer_than_any_word_do_not_merge():
+    a, b = "x" * 70 + "a", "x" * 70 + "b"
+    assert endings.core(a) != endings.core(b) and endings.core("\ud800") == "?"
 
 
 def test_payload_after_a_long_lead_in_or_a_remark_and_deep_nesting():
