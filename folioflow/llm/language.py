@@ -2,7 +2,7 @@
 
 Texts whose function words clearly name a language train counts of hashed words; the model has
 ``BUCKETS`` cells for each of the ``LANGS``, whatever the corpus, so it may be collected and broadcast
-(at most 2 MB). With it also answers of two or three words can be told apart.
+(at most 4 MB). With it also answers of two or three words can be told apart.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 BUCKETS = 1 << 15
-LANGS = ("en", "de", "fr", "es", "it", "pt", "nl")
+LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "cs", "sv", "da", "fi", "hu", "ro", "tr")
 # Common function words of each language.
 FUNCTION_WORDS = {
     "en": "the of and to is in that it for with as which are this be on by what from not an or when why how has only",
@@ -23,6 +23,14 @@ FUNCTION_WORDS = {
     "es": "el la los las de del y es una un que en se por con para no su lo al cuando como esta qué cuál solo más",
     "it": "il lo gli di del della che e è una un per con non si da nel sono come quando quale più anche solo questa delle dei degli alla alle nella nessuna nessun due perché viene vengono dopo così poi essere stato entrambi",
     "pt": "o a os as do da dos das e é uma um que em não se por com para no na quando como mais qual só isso não pois já tinha trata porque depois esta este pelo pela nos nas são está ambas mesmo",
+    "pl": "jest nie się że na do jak przez ale który która które tym tego oraz gdy czy dla od są był była może tylko także ze wszystko więc przy jego po jako między każdy",
+    "cs": "je že se není jsou na který která které jako ale nebo pro při podle také jen když byl byla může mezi všechny více protože tak kde co aby před jeho této tento každý ze",
+    "sv": "och att det som är inte på för av till med den ett om har kan från eller men när vid också bara vilken varför hur mellan alla mer denna detta blir genom efter därför",
+    "da": "og at det som er ikke på for af til med den et om har kan fra eller men når ved også kun hvilken hvorfor hvordan mellem alle mere denne dette bliver gennem efter derfor",
+    "fi": "ja on ei että se joka kun kuin myös tai mutta ovat vain jos niin sen sekä mikä miksi miten koska kaikki voi oli joita tämä siitä välillä ennen jälkeen",
+    "hu": "és az hogy nem egy is van ez csak de vagy meg volt mint amely amelyek azért mert kell minden között szerint után alatt lehet ha ezt annak hogyan miért",
+    "ro": "și este nu care pentru că din mai sunt cu sau dar când prin între după toate fost această acest numai dacă fi unei unui astfel deoarece cum cele lui",
+    "tr": "ve bir bu için ile olarak değil çok daha gibi ama veya olan kadar sonra ne nasıl neden arasında her ancak sadece çünkü ise hem olduğunu olur tarafından",
     "nl": "de het een en van is dat niet op te met voor zijn aan er als door welke wat wanneer hoe maar ook alleen deze wordt worden omdat na naar bij geen twee dan dit heeft onder tussen beide",
 }
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm import endings, language
+from folioflow.llm import endings, language, pushdown
 from folioflow.session import cut, spread
 
 # Grammars of declining, by language; they apply at the start of a sentence.
@@ -44,12 +44,13 @@ _SLOT = re.compile(r"[<\[({]+\s*(?:answer|blank|empty|none|response|text|antwort
 _BLANK = "​‌‍⁠﻿\xa0"
 _TOKEN = re.compile(r"[^\W_]+")
 _OPTION_LABEL = re.compile(r"^\s*[(\[]?[A-Ha-h1-9][).\]:]\s+")
-_BRACKETS = re.compile(r"```|[()\[\]{}«»“”„]")
-_CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 PRIOR = {"multi": -1.0, "single": -2.5, "option": -4.5}
-#: An answer that begins an option and stops inside it; a bracket, quotation or fence left open.
-INSIDE_OPTION, LEFT_OPEN = 4.0, 1.5
+#: An answer that begins an option and stops inside it; a structure left open (``pushdown``), whatever the last character is.
+INSIDE_OPTION, LEFT_OPEN = 4.0, 4.0
 LANGUAGE_MARGIN = 6.0
+#: A run of words that counts as copied, and the questions (in words) short enough for single words to count.
+RUN, SHORT = 2, 8
+_BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
 def is_empty(answer: str | None, options: list[str]) -> bool:
@@ -74,25 +75,54 @@ def is_refusal(text: str | None) -> bool:
     return any(h in low for h in _HINTS) and bool(REFUSAL.search(text))
 
 
-def tile(a: list[str], q: list[str]) -> tuple[int, int]:
-    """Greedy string tiling of ``a`` with runs of ``q``, longest first: tokens covered in a, in q."""
+def tile(a: list[str], q: list[str], least: int = 1) -> tuple[int, int]:
+    """Greedy string tiling of ``a`` with runs of ``q`` of at least ``least`` tokens, longest first: tokens covered in a, in q.
+
+    Runs are looked up by a rolling hash, at lengths halved from that of the shorter text, and extended as far as
+    they agree, so that the cost is n log n in the number of tokens, however often words repeat.
+    """
     free_a, free_q = [True] * len(a), [True] * len(q)
-    while True:
-        best, at_a, at_q = 0, 0, 0
-        previous = [0] * (len(q) + 1)
-        for i, x in enumerate(a):
-            row = [0] * (len(q) + 1)
-            if free_a[i]:
-                for j, y in enumerate(q):
-                    if x == y and free_q[j]:
-                        row[j + 1] = n = previous[j] + 1
-                        if n > best:
-                            best, at_a, at_q = n, i - n + 1, j - n + 1
-            previous = row
-        if not best:
-            return free_a.count(False), free_q.count(False)
-        for k in range(best):
-            free_a[at_a + k] = free_q[at_q + k] = False
+    ids: dict[str, int] = {}
+    xs, ys = ([ids.setdefault(t, len(ids) + 1) for t in side] for side in (a, q))
+    size = min(len(xs), len(ys))
+    while size >= max(least, 1):
+        where: dict[int, list[int]] = {}
+        for j, h in reversed(_runs(ys, free_q, size)):
+            where.setdefault(h, []).append(j)
+        upto = 0
+        for i, h in _runs(xs, free_a, size) if where else ():
+            at = where.get(h)
+            if i < upto or not at:
+                continue
+            while at and not (free_q[at[-1]] and free_q[at[-1] + size - 1] and xs[i : i + size] == ys[at[-1] : at[-1] + size]):
+                at.pop()
+            if at:
+                j, n = at.pop(), size
+                while i + n < len(xs) and j + n < len(ys) and free_a[i + n] and free_q[j + n] and xs[i + n] == ys[j + n]:
+                    n += 1
+                for k in range(n):
+                    free_a[i + k] = free_q[j + k] = False
+                upto = i + n
+        size = max(size // 2, least) if size > least else 0
+    return free_a.count(False), free_q.count(False)
+
+
+def _runs(xs: list[int], free: list[bool], size: int) -> list[tuple[int, int]]:
+    """(start, hash) of the runs of ``size`` free tokens."""
+    out, h, n = [], 0, 0
+    drop = pow(_BASE, size - 1, _MOD)
+    for i, x in enumerate(xs):
+        if not free[i]:
+            h = n = 0
+            continue
+        if n == size:
+            h -= xs[i - size] * drop
+            n -= 1
+        h = (h * _BASE + x) % _MOD
+        n += 1
+        if n == size:
+            out.append((i - size + 1, h))
+    return out
 
 
 def is_copy(text: str, question: str) -> bool:
@@ -109,31 +139,12 @@ def is_copy(text: str, question: str) -> bool:
     if not parts or any(sum(t not in known for t in p) > max(1, len(p) // 5) for p in parts):
         return False
     for p in parts:
-        in_a, in_q = tile(p, q)
+        in_a, in_q = tile(p, q, 1 if len(q) <= SHORT else RUN)
         if len(p) - in_a > max(1, len(p) // 5) or in_q < 0.6 * len(q):
             return False
     return True
 
 
-def left_open(text: str) -> bool:
-    """Whether a bracket, quotation or fence opened in ``text`` is still open at its end."""
-    stack: list[str] = []
-    for m in _BRACKETS.finditer(text):
-        t = m[0]
-        if t == "```":
-            if t in stack:
-                del stack[stack.index(t) :]
-            else:
-                stack.append(t)
-        elif t in _CLOSES or t == "“" and "„" in stack:
-            opener = "„" if t == "“" or (t == "”" and "„" in stack) else _CLOSES[t]
-            if opener in stack:
-                del stack[stack.index(opener) :]
-        else:
-            stack.append(t)
-    return bool(stack)
-
-
 _COUNTS = pa.schema([("row", pa.string()), ("token", pa.string()), ("bucket", pa.int32()), ("inner", pa.int64()), ("final", pa.int64())])
 
 
@@ -160,11 +171,15 @@ SEEN = "item_id long, reply_id long, about_declining boolean, defect string, lan
 
 
 def _end_of(text: str, options: list[str]) -> dict | None:
-    """The ending of an answer or explanation, with all log odds of a cut that need no counts."""
+    """The ending of an answer or explanation, with all log odds of a cut that need no counts; None for one that is plainly complete.
+
+    What the pushdown parser finds left open is looked at first: a text that stops inside a fence, bracket or quotation is no
+    complete one, also behind a full stop or a closing mark.
+    """
+    opened = bool(pushdown.left_open(text))
     kind, token = endings.ending(text)
     bare = text.strip()
-    opened = left_open(text)
-    if kind in ("stop", "closed"):
+    if kind in ("stop", "closed") and not opened:
         return None
     inside = bare[:-2]
     multi = any(s in inside for s in (". ", "? ", "! ", ".\n"))

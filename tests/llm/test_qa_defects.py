@@ -1,6 +1,7 @@
 import random
+import time
 
-from folioflow.llm import language, qa_defects as qa
+from folioflow.llm import language, pushdown, qa_defects as qa
 
 ITEM = "item_id long, reply_id long, question string, options array<string>, answer string, explanation string, created_at string"
 REPLY = "reply_id long, refusal string, text string"
@@ -56,9 +57,36 @@ def test_tiling_against_brute_force():
         assert n_a == n_q == brute_tile(a, q)[0]
 
 
+def test_long_and_repetitive_texts_are_tiled_quickly():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(900)}" for _ in range(6000)]
+    shuffled = words[:]
+    rng.shuffle(shuffled)
+    began = time.perf_counter()
+    assert qa.tile(shuffled, words) == (6000, 6000)
+    assert qa.tile(["a"] * 6000, ["a"] * 6000) == (6000, 6000) and qa.tile(["a", "b"] * 3000, ["b", "a"] * 3000, 2)[0] >= 5998
+    blocks = words[3000:] + words[:3000]
+    assert qa.tile(blocks, words, 8)[0] > 5900 and qa.tile(shuffled, words, 8)[0] < 100
+    assert time.perf_counter() - began < 5
+    assert qa.tile([], words) == qa.tile(words, []) == (0, 0) and qa.tile(list("abcx"), list("xabc"), 2) == (3, 3)
+
+
 def test_open_nesting():
-    assert qa.left_open("a (b [c]") and qa.left_open("```x") and qa.left_open("«a") and qa.left_open("„a")
-    assert not qa.left_open("a (b) [c] „d“ “e” ```x``` «f»") and not qa.left_open("b) x")
+    for text, found in (
+        ("a (b [c]", ["("]), ("see (a (b) and", ["("]), ("It is (see the map.", ["("]), ("[a (b] c", []), ("```py\nprint(1)", ["```"]), ("```\n(x\n``` done", []),
+        ('He said "the river', ['"']), ('"Yes", he said.', []), ('a 5" pipe and a 6" pipe', []), ("«a", ["«"]), ("„a", ["„"]), ("„a“ and “b” and »c«", []), ("the **most", ["**"]), ("the **most** and 2**3", []),
+        ("<b>bold", ["<b>"]), ("<b>x</b><br> y <p>z, i < 3 and List<String>", []), ("on [0, 1) and (0, ∞]", []), ("a) first b) second", []), ("fine :) or :( then", []),
+        ("`f(` is code", []), ("1. one\n2.", ["item"]), ("- one\n- two", []), ("", []),
+    ):
+        assert pushdown.left_open(text) == found, text
+
+
+def test_structure_left_open_counts_whatever_stands_last():
+    for text in ("see (a (b) and", 'He said "the river.', "```py\nprint(1)", "It is (see the map.", "First point.\n1. one\n2."):
+        end = qa._end_of(text, [])
+        assert end and end["base"] > 0, text
+    assert qa._end_of("It is (see the map).", []) is None and qa._end_of('He said "no".', []) is None
+    assert qa._end_of("f(x", ["f(x", "g(x"])["base"] < 0
 
 
 def test_language_of_short_texts():
