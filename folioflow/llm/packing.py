@@ -1,9 +1,11 @@
 """Texts into containers of fixed capacity, planned on the histogram of lengths.
 
 The plan is best-fit decreasing over counts: all items of one length and all containers with the same
-space left are handled at once. Its input is the histogram, with at most ``capacity`` rows, and it has at most
-a few rows per length, however many documents there are; that bounds what the driver sees. Documents then
-take the planned slots by joining on their rank within their length.
+space left are handled at once. Its input is the histogram, with at most ``capacity`` rows, and the plan of L lengths has at most
+L (1 + 3 log2 capacity) slots, however many documents there are: only the last slot of a length can split a group of
+containers, into three, so that there are never more than 3 L groups; and a group that takes items of a length is left with less
+than that length and with less than half its space, so that it takes items at most log2 capacity times. That bounds what the
+driver sees. Documents then take the planned slots by joining on their rank within their length.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from folioflow.session import cut
 
 #: Items ranked by one task at most, about.
 RANKED_TOGETHER = 250_000
+#: Slots of a plan that is broadcast (about 40 MB).
+BROADCAST = 500_000
 
 
 def plan(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -100,8 +104,8 @@ def containers(documents: DataFrame, limits: DataFrame, path: str = RANKS) -> Da
     within = Window.partitionBy("limit_name", "length", "bucket").orderBy("doc_id", "piece")
     ranked = marked.withColumn("within", F.row_number().over(within) - 1).join(offsets, ["limit_name", "length", "bucket"]).withColumn("rank", F.col("offset") + F.col("within"))
     planned = spark.createDataFrame(slots, "limit_name string, length long, rank_from long, rank_to long, first long, each long")
-    # The plan has a few rows per length at most, so that an equi-join on length stays narrow and can be broadcast.
-    taken = ranked.join(F.broadcast(planned), ["limit_name", "length"]).where("rank >= rank_from and rank < rank_to")
+    # Bounded by the capacities (see above); of capacities so large that the plan itself is, the join is left to Spark.
+    taken = ranked.join(F.broadcast(planned) if len(slots) <= BROADCAST else planned, ["limit_name", "length"]).where("rank >= rank_from and rank < rank_to")
     mixed = taken.select(
         "limit_name", F.concat(F.lit("mix-"), (F.col("first") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each"))).cast("string")).alias("container_id"),
         "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("token_from"), F.col("length").alias("tokens"),
@@ -118,3 +122,16 @@ def fill(assigned: DataFrame, limits: DataFrame) -> DataFrame:
     split = assigned.where("piece > 0").groupBy("limit_name").agg(F.count_distinct("doc_id").alias("texts_split"))
     joined = total.join(split, "limit_name", "left").na.fill(0, ["texts_split"]).join(limits.select("limit_name", "capacity_tokens").dropDuplicates(["limit_name"]), "limit_name")
     return joined.withColumn("used_share", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def bounds(assigned: DataFrame, limits: DataFrame) -> DataFrame:
+    """limit_name, documents (distinct ones assigned), overfull (containers beyond the capacity), repeated (pieces assigned twice),
+    needless (texts split though they fit)."""
+    caps = limits.where("capacity_tokens > 0").select("limit_name", "capacity_tokens").dropDuplicates(["limit_name"])
+    boxes = assigned.groupBy("limit_name", "container_id").agg(F.sum("tokens").alias("tokens")).join(caps, "limit_name")
+    over = boxes.groupBy("limit_name").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"))
+    texts = assigned.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("distinct")).join(caps, "limit_name")
+    told = texts.groupBy("limit_name").agg(
+        F.count("*").alias("documents"), F.sum(F.col("pieces") - F.col("distinct")).alias("repeated"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("needless")
+    )
+    return told.join(over, "limit_name").select("limit_name", "documents", "overfull", "repeated", "needless")

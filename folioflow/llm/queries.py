@@ -75,6 +75,10 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_containers(spark, folder), table(spark, folder, "pack_limits"))
 
 
+def p6_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.bounds(p6_containers(spark, folder), table(spark, folder, "pack_limits"))
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
@@ -92,6 +96,27 @@ def p7_supply_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"), size="supply")
 
 
+def p7_entropy_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Own shares tempered to the entropy of the targets, as large as the repeats allow."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"), by="entropy")
+
+
+def p7_entropy_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets"), by="entropy")
+
+
+def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.bounds(p7_shares(spark, folder))
+
+
+def p7_supply_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.bounds(p7_supply_shares(spark, folder))
+
+
+def p7_entropy_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.bounds(p7_entropy_shares(spark, folder))
+
+
 def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.temperature(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
@@ -118,16 +143,32 @@ QUERIES: dict[str, Query] = {
     "p5_counts": p5_counts,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_bounds": p6_bounds,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p7_supply_mixture": p7_supply_mixture,
     "p7_supply_shares": p7_supply_shares,
+    "p7_entropy_mixture": p7_entropy_mixture,
+    "p7_entropy_shares": p7_entropy_shares,
+    "p7_bounds": p7_bounds,
+    "p7_supply_bounds": p7_supply_bounds,
+    "p7_entropy_bounds": p7_entropy_bounds,
     "p7_temperature": p7_temperature,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
 }
 
+# What must hold of every mixture, whatever its draw.
+_MIXTURE_HOLDS = "SELECT DISTINCT source, true AS within_repeats, true AS as_planned, true AS targets_met FROM source_targets WHERE source IS NOT NULL"
+
 ORACLES: dict[str, str] = {
+    "p6_bounds": """
+        SELECT limit_name, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS repeated, 0 AS needless
+        FROM (SELECT DISTINCT limit_name FROM pack_limits WHERE capacity_tokens > 0)
+    """,
+    "p7_bounds": _MIXTURE_HOLDS,
+    "p7_supply_bounds": _MIXTURE_HOLDS,
+    "p7_entropy_bounds": _MIXTURE_HOLDS,
     "p5_counts": r"""
         WITH reads AS (
             SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY arrived_at DESC NULLS LAST) AS r FROM metrics_ingestion

@@ -31,6 +31,7 @@ def test_plan_is_complete_and_tight():
             else:
                 bins.append(capacity - length)
         assert made <= math.ceil(1.03 * len(bins)) + 1
+        assert len(slots) <= len(histogram) * (1 + 3 * math.log2(capacity))
     assert packing.plan([], 10) == ([], 0)
 
 
@@ -66,6 +67,8 @@ def test_containers(spark):
         assert sum(fill.values()) / (len(fill) * capacity) > 0.95
     report = {r.limit_name: r for r in packing.fill(packing.containers(docs, limits), limits).collect()}
     assert set(report) == {"a", "b"} and report["b"].fullest <= 700
+    held = packing.bounds(packing.containers(docs, limits), limits).collect()
+    assert {tuple(r) for r in held} == {("a", len(rows), 0, 0, 0), ("b", len(rows), 0, 0, 0)}
     assert packing.containers(docs.limit(0), limits).count() == 0 and packing.containers(docs, limits.where("false")).count() == 0
 
 
@@ -80,6 +83,14 @@ def test_exponents():
     exponent, plan = mixing.plan(sources, 1200)
     assert 0 < exponent < 1 and sum(b for _, b in plan.values()) == pytest.approx(1200, rel=1e-6) and plan["b"][1] <= 300.0001 and plan["a"][1] <= 1000
     assert mixing.plan([]) == (1.0, {})
+    # own shares tempered to the entropy of the targets, and as far as the repeats allow
+    flat = [("a", 0.5, 9, 1000), ("b", 0.3, 9, 100), ("c", 0.2, 9, 300)]
+    exponent, plan = mixing.plan(flat, 500, "entropy")
+    got = [w for w, _ in plan.values()]
+    assert 0 < exponent < 1 and mixing.entropy(got) == pytest.approx(mixing.entropy([0.5, 0.3, 0.2]), abs=1e-6) and got[0] > got[2] > got[1]
+    tight, plan = mixing.plan([(s, t, 2, n) for s, t, _, n in flat], 2000, "entropy")
+    assert exponent < tight < 1 and plan["b"][1] == pytest.approx(200, rel=1e-6) and sum(b for _, b in plan.values()) == pytest.approx(2000, rel=1e-6)
+    assert mixing.plan([(s, t, 1, n) for s, t, _, n in flat], 10**6, "entropy")[0] == pytest.approx(1.0)
 
 
 def test_mixture(spark):
@@ -99,6 +110,11 @@ def test_mixture(spark):
     assert all(more[s].most_uses == most[s] for s in most) and more["s1"].exponent < 1
     assert mixing.mixture(docs.limit(0), targets).count() == 0 and mixing.shares(docs.limit(0), targets).count() == 5
     assert mixing.temperature(docs, targets).count() == 5
+    for report in (mixing.shares(docs, targets), mixing.shares(docs, targets, by="entropy"), mixing.shares(docs, targets, "supply", by="entropy"), mixing.shares(docs.limit(0), targets)):
+        assert all(r.within_repeats and r.targets_met for r in mixing.bounds(report).collect())
+    flat = {r.source: r for r in mixing.shares(docs, targets, by="entropy").collect()}
+    assert all(r.actual_share == pytest.approx(r.tempered_share, abs=0.01) for r in flat.values()) and flat["s1"].exponent != 1
+    assert mixing.mixture(docs, targets, by="entropy").agg({"tokens": "sum"}).first()[0] == sum(r.tokens_used for r in flat.values())
 
 
 def test_mixture_of_the_size_of_the_supply(spark):
