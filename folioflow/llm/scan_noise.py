@@ -3,13 +3,15 @@
 Four kinds are looked for: words broken by a hyphen at a line end, misrecognised characters, running
 heads, page numbers. Misrecognised words come from a generalised Levenshtein automaton run over tries of
 the corpus vocabulary. The vocabulary and the words asked about are distinct words, aggregated over all
-texts; they meet in shards by length and first (or last) character, so that no task holds the whole
-vocabulary, and one confusion anywhere in a word of three or more characters is always found (it leaves
-the first or the last character as it is).
+texts; they meet in shards by length and first (or last) characters, more of them the longer the word, so that no task
+holds the whole vocabulary, and one confusion or edit anywhere in a word of three or more characters is always found (it
+leaves one end as it is). Words of any number of confusions, at both ends too, have the same skeleton (each class of
+characters taken for one another as one sign) and meet in a shard of that; words too long for a trie meet there only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -35,7 +37,8 @@ CONFUSED, EDITED, BOUND = 1, 2, 2
 RATIO, LEAST = 6.0, 5
 #: A word seen once, of so many characters, may be one confusion away from a right word that occurs so often.
 LONG, FEW = 6, 3
-WORD_MAX = 40
+#: Words of up to so many characters are looked up in tries; longer ones are compared with those of their skeleton.
+TRIE_MAX = 40
 # Conjunctions after a suspended hyphen.
 SUSPENDED = ("and", "or", "to", "und", "oder", "bis", "sowie", "et", "ou", "y", "e", "o", "u", "ed")
 #: Bits of the prefilter that is broadcast (fixed, 1 MB); what passes it is joined exactly.
@@ -43,16 +46,16 @@ FILTER_BITS = 1 << 23
 HYPHENS = "-‐‑¬\xad"
 _WORD = re.compile(r"[\w@|$]+(?:['’!][\w@|$]+)*")
 _BREAK = re.compile(rf"[{HYPHENS}](?:[ \t]*\n[ \t]*| )(?=[^\W\d_])")
-_LEFT, _RIGHT = re.compile(r"[^\W\d_][\w@|]*\Z"), re.compile(r"[\w@|]+")
+_RIGHT = re.compile(r"[\w@|]+")
 _TERMINATED = re.compile(r"[.!?:;…][\"'»”’)\]]*$")
 _ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _DIGIT = r"[0-9|lOo]{0,3}\d[0-9|lOo]{0,3}"
-_PAGE = rf"(?:(?:page|pag|pág|página|seite|pagina|p|s|pg)\.?\s*\d{{1,4}}(?:\s*(?:/|of|von|de|sur|di|out of)\s*\d{{1,5}})?|[-–—]\s*\d{{1,4}}\s*[-–—]|\[\s*\d{{1,4}}\s*\]|\(\s*\d{{1,4}}\s*\)|\d{{1,4}}\s*/\s*\d{{1,5}}|\d{{1,4}})"
+_PAGE = rf"(?:(?:page|pag|pág|página|seite|pagina|p|s|pg)\.?\s*\d+(?:\s*(?:/|of|von|de|sur|di|out of)\s*\d+)?|[-–—]\s*\d+\s*[-–—]|\[\s*\d+\s*\]|\(\s*\d+\s*\)|\d+\s*/\s*\d+|\d+)"
 _PAGE_ONLY = re.compile(rf"^\s*(?:{_PAGE}|{_ROMAN})\s*$", re.I)
-_BARE_NUMBER = re.compile(r"^\s*\d{1,4}\s*$")
+_BARE_NUMBER = re.compile(r"^\s*\d+\s*$")
 _WITH_PAGE = re.compile(rf"^(?P<a>{_PAGE})(?:\s{{2,}}|\s*[|·•]\s*|\t)(?P<t>\S.*)$|^(?P<t2>\S.*?)(?:\s{{3,}}|\s*[|·•]\s+|\t)(?P<b>{_PAGE})$", re.I)
 _HEADING_PAGE = re.compile(
-    rf"(?:\s*\.{{3,}}\s*|\s*…+\s*|\s*[|·•]\s*|\s*\n\s*|\s{{2,}})(?:{_PAGE}|(?-i:{_ROMAN}))\s*$|^\s*(?:{_PAGE})(?:\s*\n\s*|\s{{2,}}|\s*[|·•]\s*)(?=\S)|\s[-–—]\s*\d{{1,4}}\s*[-–—]\s*$|\s(?:page|seite|página)\s+\d{{1,4}}(?:\s*(?:of|von|de|sur|/)\s*\d+)?\s*$|\s\[\d{{1,4}}\]\s*$", re.I)
+    rf"(?:\s*\.{{3,}}\s*|\s*…+\s*|\s*[|·•]\s*|\s*\n\s*|\s{{2,}})(?:{_PAGE}|(?-i:{_ROMAN}))\s*$|^\s*(?:{_PAGE})(?:\s*\n\s*|\s{{2,}}|\s*[|·•]\s*)(?=\S)|\s[-–—]\s*\d+\s*[-–—]\s*$|\s(?:page|seite|página)\s+\d+(?:\s*(?:of|von|de|sur|/)\s*\d+)?\s*$|\s\[\d+\]\s*$", re.I)
 _FOLD = str.maketrans({"0": "o", "1": "l", "|": "l", "i": "l", "5": "s", "@": "a", "9": "g", "6": "b", "8": "b", "c": "e", "é": "e", "è": "e", "f": "t", "h": "l"})
 _CODE = re.compile(r"^(?:[a-z]?\d+[a-z]?\d*|[a-z]{1,3}\d+[a-z]*|v\d.*|\d+[a-z]+)$")
 
@@ -65,16 +68,26 @@ def _fold(line: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if len(w) <= WORD_MAX and not w.isdigit()]
+    return [w for w in _WORD.findall(text.lower()) if not w.isdigit()]
+
+
+def _before(text: str, end: int) -> str:
+    """The word that ends at ``end``, from its first letter on; empty if there is none."""
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_@|"):
+        start -= 1
+    while start < end and not text[start].isalpha():
+        start += 1
+    return text[start:end]
 
 
 def breaks_of(text: str) -> list[tuple[int, int, str, str]]:
     """(end of the left part, start of the right part, left, right) at each hyphen before a line end or space."""
     out = []
     for m in _BREAK.finditer(text):
-        left = _LEFT.search(text, max(0, m.start() - WORD_MAX), m.start())
+        left = _before(text, m.start())
         if left:
-            out.append((m.start(), m.end(), left[0], _RIGHT.match(text, m.end())[0]))
+            out.append((m.start(), m.end(), left, _RIGHT.match(text, m.end())[0]))
     return out
 
 
@@ -178,9 +191,60 @@ def candidates(word: str, trie: dict, bound: int = BOUND) -> list[tuple[str, int
     return [(p, c, k) for p, (c, k) in best.items()]
 
 
-def confusable(word: str) -> bool:
-    """Whether a confusion could have made the word."""
-    return any(word.startswith(read, i) for i, ch in enumerate(word) for read, _ in _BY_FIRST.get(ch, ()))
+def reads(wrong: str, right: str, bound: int = BOUND) -> int | None:
+    """The least cost at which confusions alone read ``right`` as ``wrong``, or None beyond ``bound``; linear in the words' length."""
+    best, stack = None, [(0, 0, 0)]
+    while stack:
+        i, j, cost = stack.pop()
+        step = 64
+        while step:  # over what is alike, in strides
+            if wrong[i : i + step] == right[j : j + step] and i + step <= len(wrong) and j + step <= len(right):
+                i, j = i + step, j + step
+            else:
+                step //= 2
+        if i == len(wrong) and j == len(right):
+            best = cost if best is None else min(best, cost)
+            continue
+        if cost + CONFUSED > bound or i == len(wrong) or j == len(right):
+            continue
+        # A confusion may also begin before the first difference ("rn" against "rm").
+        for back in (0, 1):
+            k, n = i - back, j - back
+            if min(k, n) >= 0:
+                for read, printed in _BY_FIRST.get(wrong[k], ()):
+                    if wrong.startswith(read, k) and right.startswith(printed, n):
+                        stack.append((k + len(read), n + len(printed), cost + CONFUSED))
+    return best
+
+
+# Characters as the strokes that the confusions of two for one take them for.
+_SPELLED = {"m": "rri", "n": "ri", "u": "ii", "ü": "ii", "d": "cl", "h": "li", "w": "vv", "ﬁ": "fi", "ﬂ": "fl"}
+
+
+def _classes() -> dict[str, str]:
+    """Each character's sign: one for all that single characters of ``CONFUSIONS`` can be taken for, over any number of steps."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for pair in CONFUSIONS:
+        one, other = ("".join(_SPELLED.get(c, c) for c in side) for side in pair)
+        if len(one) == len(other):
+            for x, y in zip(one, other):
+                root[find(x)] = find(y)
+    return {c: find(c) for pair in CONFUSIONS for side in pair for x in side for c in _SPELLED.get(x, x)}
+
+
+_SIGNS = _classes()
+_SKELETON = str.maketrans({c: "".join(_SIGNS.get(x, x) for x in _SPELLED.get(c, c)) for c in {*_SPELLED, *_SIGNS}})
+
+
+def skeleton(word: str) -> str:
+    """The word with one sign for all characters taken for one another: any confusions leave it as it is."""
+    return word.translate(_SKELETON)
 
 
 _FOUND = pa.schema([("wrong", pa.string()), ("n", pa.int64()), ("right", pa.string()), ("right_n", pa.int64()), ("cost", pa.int32()), ("confused", pa.bool_())])
@@ -195,20 +259,53 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != shard:
                 shard, trie, counts, most = key, {}, {}, 0
             if not asked:
-                node = trie
-                for ch in word:
-                    node = node.setdefault(ch, {})
-                node[""] = True
+                if len(word) <= TRIE_MAX:
+                    node = trie
+                    for ch in word:
+                        node = node.setdefault(ch, {})
+                    node[""] = True
                 counts[word] = n
                 most = max(most, n)
-            elif trie and (RATIO * n <= most or not word.isalpha() or (n <= 1 and most >= FEW and len(word) >= LONG)):
+            elif counts and (RATIO * n <= most or not word.isalpha() or (n <= 1 and most >= FEW and len(word) >= LONG)):
                 # No other word can stand the tests of misread().
-                for right, cost, confused in candidates(word, trie):
+                hits = candidates(word, trie) if trie else []
+                if key[0] == "s":  # longer words, of its own skeleton only
+                    costs = ((right, reads(word, right)) for right in counts if right != word and max(len(right), len(word)) > TRIE_MAX)
+                    hits = [h for h in hits if len(word) <= TRIE_MAX] + [(right, cost, True) for right, cost in costs if cost]
+                for right, cost, confused in hits:
                     for name, x in zip(out, (word, n, right, counts[right], cost, confused)):
                         out[name].append(x)
         yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
 
 
+_SHARDS = pa.schema([("shard", pa.string()), ("asked", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
+
+
+def _ends(word: str, length: int) -> tuple[str, str]:
+    """The shards of words of ``length`` that begin, or end, like ``word``: by one character, by two from 6, by three from 10 characters on.
+
+    One confusion or edit lies within four characters, so that it cannot touch both ends so taken.
+    """
+    k = 1 if length < 6 else 2 if length < 10 else 3
+    return f"a{length} {word[:k]}", f"z{length} {word[-k:]}"
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word once per shard that it belongs to, or, if asked, that may hold its right word."""
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in _SHARDS}
+        for word, n, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            size = len(word)
+            keys = {"s" + hashlib.blake2b(skeleton(word).encode("utf-8", "replace"), digest_size=12).hexdigest()}
+            for length in range(size - BOUND, size + BOUND + 1) if asked else (size,):
+                if 0 < length <= TRIE_MAX:
+                    keys.update(_ends(word, length))
+            for key in keys:
+                for name, x in zip(out, (key, asked, word, n)):
+                    out[name].append(x)
+        yield pa.RecordBatch.from_pydict(out, schema=_SHARDS)
+
+
 def misread(vocab: DataFrame) -> DataFrame:
     """wrong, right, score: the words that are misreadings, with every right word that stands the test.
 
@@ -218,21 +315,13 @@ def misread(vocab: DataFrame) -> DataFrame:
     """
     has_letter = F.col("word").rlike(r"\p{L}")
     usable = vocab.where(has_letter & (F.length("word") >= 2) & ~F.col("word").contains("-"))
-    words = usable.where((F.col("n") >= 2) & ~F.col("word").rlike(r"[0-9@|$]"))
-    size = F.length("word")
-
-    def keys(length: Column) -> Column:
-        return F.array(F.concat(F.lit("a"), length, F.substring("word", 1, 1)), F.concat(F.lit("z"), length, F.substring("word", -1, 1)))
-
-    known = words.select(F.explode(keys(size)).alias("shard"), F.lit(False).alias("asked"), "word", "n")
+    known = usable.where((F.col("n") >= 2) & ~F.col("word").rlike(r"[0-9@|$]")).select("word", "n", F.lit(False).alias("asked"))
     likely = "[" + "".join(re.escape(c) for c in sorted({r[0] for r, _ in CONFUSIONS})) + "]"
-    asked = usable.where(F.col("word").rlike(likely)).withColumn("n", F.greatest("n", F.least("joins", F.lit(1))))
-    lengths = F.array(*[keys(size + d) for d in (-2, -1, 0, 1, 2)])
-    asked = asked.select(F.explode(F.array_distinct(F.flatten(lengths))).alias("shard"), F.lit(True).alias("asked"), "word", "n")
+    asked = usable.where(F.col("word").rlike(likely)).select("word", F.greatest("n", F.least("joins", F.lit(1))).alias("n"), F.lit(True).alias("asked"))
     # By number, so that it stays: the shards are small in bytes, but searching them is work.
     tasks = max(8, int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = known.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "asked")
-    hits = both.mapInArrow(_search, "wrong string, n long, right string, right_n long, cost int, confused boolean")
+    rows = known.unionByName(asked).mapInArrow(_shards, "shard string, asked boolean, word string, n long")
+    hits = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "asked").mapInArrow(_search, "wrong string, n long, right string, right_n long, cost int, confused boolean")
     score = F.log("right_n") - F.log(F.col("n") + 1.0) - F.col("cost") * F.log(F.lit(RATIO))
     often = (F.col("right_n") >= LEAST) & (F.col("right_n") >= F.col("n") * F.pow(F.lit(RATIO), F.col("cost")))
     often = often | ((F.col("right_n") >= FEW) & (F.col("n") <= 1) & (F.col("cost") == CONFUSED) & (F.length("wrong") >= LONG))
@@ -266,7 +355,7 @@ def furniture(text: str) -> list[tuple[int, str, str, bool]]:
     out: list[tuple[int, str, str, bool]] = []
     taken = set()
     for i, s in enumerate(bare):
-        if not s or len(s) > 110:
+        if not s:
             continue
         before = next((bare[k] for k in range(i - 1, -1, -1) if bare[k] and k not in taken), None)
         after = next((b for b in bare[i + 1 :] if b), None)
@@ -287,8 +376,6 @@ def furniture(text: str) -> list[tuple[int, str, str, bool]]:
             out.append((i, "both", _fold(m["t"] or m["t2"]), True))
             taken.add(i)
             continue
-        if len(s) > 75:
-            continue
         upper, lower = sum(map(str.isupper, s)), sum(map(str.islower, s))
         capitals = upper + lower >= 4 and upper >= 0.9 * (upper + lower)
         sides = [p for p in re.split(r"\s[·•|]\s", s) if re.search(r"[^\W\d_]{2,}", p)] if "·" in s or "•" in s or "|" in s else []
@@ -350,8 +437,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = words_of(rest) + (words_of(furnished) if furnished else [])
                 whole.update(words)
                 if "-" in rest:
-                    whole.update(w for w in _INNER_HYPHEN.findall(rest.lower()) if len(w) <= WORD_MAX)
-                joins = [p[2][:WORD_MAX] for p in pairs]
+                    whole.update(_INNER_HYPHEN.findall(rest.lower()))
+                joins = [p[2] for p in pairs]
                 closed.update(joins)
                 for left, right, _ in set(pairs):
                     put("fact", chunk, field, "hyphen", left, right)
@@ -387,9 +474,9 @@ def _pick(bits_ref):
     return pick
 
 
-def _filter(wrong: DataFrame) -> bytes:
-    """A bit per hashed misread word: at most FILTER_BITS/8 rows reach the driver."""
-    at = wrong.select((F.crc32(F.encode("wrong", "UTF-8")) % FILTER_BITS).alias("at"))
+def _filter(words: DataFrame, column: str = "wrong") -> bytes:
+    """A bit per hashed word: at most FILTER_BITS/8 rows reach the driver."""
+    at = words.select((F.crc32(F.encode(column, "UTF-8")) % FILTER_BITS).alias("at"))
     cells = at.select(F.expr("cast(at div 8 as int)").alias("cell"), F.expr("shiftleft(1, cast(at % 8 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("value"))
     bits = bytearray(FILTER_BITS // 8)
     for r in cells.toLocalIterator():
@@ -479,16 +566,40 @@ def found(chunks: DataFrame) -> DataFrame:
 # ---- repair ---------------------------------------------------------------------------------------
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("before", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-    for batch in batches:
-        seen: Counter[tuple[str, str]] = Counter()
-        for column in batch.columns:
-            for text in column.to_pylist():
-                if text:
-                    words = words_of(joined(text)[0])
-                    seen.update(zip(words, words[1:]))
-        yield pa.RecordBatch.from_pydict({"before": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, schema=schema)
+_CONTEXT = pa.schema([("chunk_id", pa.string()), ("before", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
+def _contexts(wrong_ref, right_ref):
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With chunk_id, the word before each word of that chunk that may be misread in several ways; without, counts of what stands before its right words."""
+        wrongs, rights, seen = wrong_ref.value, right_ref.value, {}
+        for batch in batches:
+            asks: set[tuple[str, str, str]] = set()
+            counts: Counter[tuple[str, str]] = Counter()
+            for chunk, heading, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for value in (heading, text):
+                    if not value:
+                        continue
+                    before = ""
+                    for word in words_of(joined(value)[0]):
+                        hit = seen.get(word)
+                        if hit is None:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            at = _bit(word)
+                            hit = seen[word] = (wrongs[at >> 3] >> (at & 7) & 1, rights[at >> 3] >> (at & 7) & 1)
+                        if before:
+                            if hit[0]:
+                                asks.add((chunk, before, word))
+                            if hit[1]:
+                                counts[(before, word)] += 1
+                        before = word
+            yield pa.RecordBatch.from_pydict({
+                "chunk_id": [a[0] for a in asks] + [None] * len(counts), "before": [a[1] for a in asks] + [c[0] for c in counts],
+                "word": [a[2] for a in asks] + [c[1] for c in counts], "n": [None] * len(asks) + list(counts.values()),
+            }, schema=_CONTEXT)
+
+    return contexts
 
 
 def _same_case(word: str, right: str) -> str:
@@ -579,16 +690,19 @@ def repaired(chunks: DataFrame) -> DataFrame:
     facts, vocab, wrong = inspect(chunks)
     one = chunks.select(F.col("id").cast("string").alias("chunk_id"), F.col("heading").cast("string"), F.col("text").cast("string")).dropDuplicates(["chunk_id"])
     many = wrong.groupBy("wrong").agg(F.count("*").alias("n")).where("n > 1").select("wrong")
-    rivals = wrong.join(many, "wrong", "left_semi")
-    pairs = one.select("heading", "text").mapInArrow(_pairs_of, "before string, word string, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
-    asked = pairs.join(many.withColumnRenamed("wrong", "word"), "word", "left_semi").select("before", F.col("word").alias("wrong")).join(rivals, "wrong")
-    ranked = asked.join(pairs.withColumnRenamed("word", "right"), ["before", "right"], "left").groupBy("before", "wrong").agg(
+    rivals = cut(wrong.join(many, "wrong", "left_semi"))
+    sc = chunks.sparkSession.sparkContext
+    filters = sc.broadcast(_filter(rivals, "wrong")), sc.broadcast(_filter(rivals, "right"))
+    around = cut(one.mapInArrow(_contexts(*filters), "chunk_id string, before string, word string, n long"))
+    asks = around.where("chunk_id is not null").select("chunk_id", "before", F.col("word").alias("wrong")).dropDuplicates()
+    counts = around.where("chunk_id is null").groupBy("before", F.col("word").alias("right")).agg(F.sum("n").alias("n"))
+    ranked = asks.select("before", "wrong").dropDuplicates().join(rivals, "wrong").join(counts, ["before", "right"], "left").groupBy("before", "wrong").agg(
         F.max_by("right", F.struct(F.coalesce("n", F.lit(0)), "score", "right")).alias("right")
     )
     best = wrong.groupBy("wrong").agg(F.max_by("right", F.struct("score", "right")).alias("right"))
     words = facts.where("fact = 'word'").select("chunk_id", F.col("a").alias("wrong"))
     fixes = words.join(best, "wrong").groupBy("chunk_id").agg(F.collect_set(F.struct("wrong", "right")).alias("fixes"))
-    context = words.join(ranked, "wrong").groupBy("chunk_id").agg(F.collect_set(F.struct("before", "wrong", "right")).alias("context"))
+    context = asks.join(ranked, ["before", "wrong"]).groupBy("chunk_id").agg(F.collect_set(F.struct("before", "wrong", "right")).alias("context"))
     breaks = _hyphens(facts, vocab, wrong).groupBy("chunk_id").agg(F.collect_set(F.struct("a", "b")).alias("breaks"))
     heads = _heads(facts).groupBy("chunk_id").agg(F.collect_set("a").alias("heads"))
     rows = one

@@ -15,7 +15,7 @@ def trie_of(words):
     return trie
 
 
-def brute(word, candidate):
+def brute(word, candidate, edits=True):
     """Least cost by dynamic programming over both words, with confusions as edits of cost 1."""
     n, m = len(word), len(candidate)
     d = [[99] * (m + 1) for _ in range(n + 1)]
@@ -25,10 +25,10 @@ def brute(word, candidate):
             if d[i][j] == 99:
                 continue
             if i < n and j < m:
-                d[i + 1][j + 1] = min(d[i + 1][j + 1], d[i][j] + (0 if word[i] == candidate[j] else sn.EDITED))
-            if i < n:
+                d[i + 1][j + 1] = min(d[i + 1][j + 1], d[i][j] + (0 if word[i] == candidate[j] else sn.EDITED if edits else 99))
+            if i < n and edits:
                 d[i + 1][j] = min(d[i + 1][j], d[i][j] + sn.EDITED)
-            if j < m:
+            if j < m and edits:
                 d[i][j + 1] = min(d[i][j + 1], d[i][j] + sn.EDITED)
             for read, printed in sn.CONFUSIONS:
                 if word.startswith(read, i) and candidate.startswith(printed, j):
@@ -144,3 +144,43 @@ def test_a_long_rare_word_is_looked_up_whatever_else_its_shard_holds(spark):
     others = [(f"{w[0]}{'x' * (len(r) - 2)}{w[-1]}", 90, 0) for w, r in (("wasserdarnm", "wasserdamm"), ("zollbearnter", "zollbeamter"))]
     crowded = {(r.wrong, r.right) for r in sn.misread(vocab.unionByName(spark.createDataFrame(others, vocab.schema))).collect()}
     assert pairs == crowded and {("wasserdarnm", "wasserdamm"), ("zollbearnter", "zollbeamter")} <= pairs
+
+
+def test_confusions_leave_the_skeleton_and_are_read_back():
+    rng = random.Random(8)
+    letters = "rnmiclduhewvybg"
+    for read, printed in sn.CONFUSIONS:
+        assert sn.skeleton(f"x{read}x") == sn.skeleton(f"x{printed}x"), (read, printed)
+    for _ in range(3000):
+        right = "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+        wrong = right
+        for _ in range(rng.randrange(1, 3)):
+            read, printed = rng.choice(sn.CONFUSIONS)
+            at = wrong.find(printed, rng.randrange(len(wrong)))
+            if at >= 0:
+                wrong = wrong[:at] + read + wrong[at + len(printed):]
+        least = brute(wrong, right, edits=False)
+        assert sn.reads(wrong, right) == (least if least <= 2 else None), (wrong, right)
+    assert sn.reads("river", "riser") is None and sn.reads("riv", "river") is None and sn.reads("x" * 3000 + "rn", "x" * 3000 + "m") == 1
+
+
+def test_words_of_any_length_and_misread_at_both_ends_are_found(spark):
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("adefgkmoprstu") for _ in range(8)) for _ in range(300)]
+    long_ = "rechtsschutzversicherungsgesellschaftsangestelltenverband"
+    giant = "".join(rng.choice("aeost") for _ in range(20_000))
+    counts = [(f"m{s}m", 90, 0) for s in stems] + [(f"rn{s}rn", 1, 0) for s in stems]
+    counts += [(long_, 12, 0), (long_.replace("m", "rn").replace("chaft", "chaff"), 1, 0), (long_.replace("verb", "vcrb"), 1, 0), (giant + "m", 9, 0), (giant + "rn", 1, 0), (giant + "x", 9, 0)]
+    found = {(r.wrong, r.right) for r in sn.misread(spark.createDataFrame(counts, "word string, n long, joins long").repartition(3)).collect()}
+    assert {(f"rn{s}rn", f"m{s}m") for s in stems} <= found
+    assert (long_.replace("verb", "vcrb"), long_) in found and (giant + "rn", giant + "m") in found and all(a != giant + "x" and b != giant + "x" for a, b in found)
+    assert sn.words_of(giant) == [giant] and sn.breaks_of(f"the {giant}-\nend")[0][2:] == (giant, "end")
+
+
+def test_long_lines_and_numbers_of_many_digits_are_furniture_too():
+    body = ["The river follows the village because it is heavy and", "the harvest of the year depends on what the mountain", "gives to the people who live in the valley below it."]
+    head = "Foundations of the long history of rivers and of the many mountains and villages along them, with remarks on the harvest"
+    assert kinds("\n".join([body[0], f"{head}    161", *body[1:]])) == {(1, "both")}
+    assert kinds("\n".join([body[0], head.upper(), *body[1:]])) == {(1, "hard")}
+    for line in ("— 16012 —", "Page 10234 of 20000", "12345/23456"):
+        assert kinds("\n".join([body[0], line, *body[1:]])) == {(1, "number")}, line
