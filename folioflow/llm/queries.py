@@ -129,6 +129,11 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.profile(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
 
 
+def p8_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """How near the estimates come to ratings that the model has not seen."""
+    return reading_level.accuracy(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_profile": p1_profile,
@@ -156,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "p7_temperature": p7_temperature,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
+    "p8_accuracy": p8_accuracy,
 }
 
 # What must hold of every mixture, whatever its draw.

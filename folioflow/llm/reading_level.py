@@ -1,15 +1,14 @@
 """Reading level of texts: regularised ordinal regression on features of words and sentences.
 
-Word rarity comes from a count sketch of all words of all documents with a fixed number of cells, so that it may
-be broadcast whatever the vocabulary; a frequency is overestimated by at most e/WIDTH of all words
-with probability 1 - exp(-DEPTH). The regression is fitted on a bounded sample of human ratings.
+Word rarity comes from exact counts of all words of all documents. Only the words with a share of at least ``HEAD`` of
+all words are sent to the tasks, of which there cannot be more than 1 / HEAD, whatever the corpus; all others are equally rare.
+The regression is fitted on a bounded sample of human ratings.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,69 +17,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.language import FUNCTION_WORDS
 from folioflow.session import cut, spread
 
-#: Cells of the count sketch (4 MB), and ratings that the regression is fitted on at most.
-WIDTH, DEPTH, RATINGS = 1 << 18, 2, 50_000
+#: The least share of all words of a word in the head (at most 500,000 words), and ratings that the regression is fitted on at most.
+HEAD, RATINGS = 2e-6, 50_000
 LEVELS = 5
-# Connectives and subordinating words, by language.
-CONNECTIVES = frozenset(
-    "because although though whereas while unless since therefore however moreover furthermore consequently hence thus nevertheless nonetheless notwithstanding otherwise meanwhile insofar thereby whereby whether even"
-    " weil obwohl während wenn sodass damit deshalb daher jedoch außerdem folglich demnach dennoch sondern insofern ungeachtet somit indem sofern selbst daraus"
-    " parce puisque quoique tandis lorsque donc cependant toutefois ainsi néanmoins pourtant afin mesure nonobstant bien dès"
-    " porque aunque mientras cuando pues puesto entonces sin embargo así tanto además luego obstante medida aun".split()
-)
-SUBORDINATORS = frozenset(
-    "which that who whom whose where when if as than such according so"
-    " welche welcher welches dass der die das als ob wobei wodurch worin"
-    " qui que dont où quand si lequel laquelle"
-    " que quien cual cuya cuyo donde si cuando".split()
-)
+#: Words counted by a task before it passes the counts on.
+_FLUSH = 200_000
+# Connectives by language.
+CONNECTIVES = {
+    "en": "because although though whereas while unless since therefore however moreover furthermore consequently hence thus nevertheless nonetheless notwithstanding otherwise meanwhile insofar thereby whereby whether even",
+    "de": "weil obwohl während wenn sodass damit deshalb daher jedoch außerdem folglich demnach dennoch sondern insofern ungeachtet somit indem sofern selbst daraus",
+    "fr": "parce puisque quoique tandis lorsque donc cependant toutefois ainsi néanmoins pourtant afin mesure nonobstant bien dès",
+    "es": "porque aunque mientras cuando pues puesto entonces embargo así tanto además luego obstante medida aun",
+}
+# Words that open a clause inside another, by language; of those in the second list only where a comma stands before.
+SUBORDINATORS = {
+    "en": "that which who whom whose where when if than because although though whereas while unless since whether",
+    "de": "dass weil obwohl während wenn sodass damit indem sofern ob wobei wodurch worin welcher welche welches welchem welchen",
+    "fr": "que qui dont où quand si lequel laquelle lesquels lesquelles parce puisque quoique lorsque",
+    "es": "que quien cual cuya cuyo donde si cuando porque aunque mientras",
+}
+AFTER_COMMA = {"de": "der die das dem den deren dessen denen was wo wie als"}
+_LANGS = tuple(CONNECTIVES)
+_FUNCTION = {lang: FUNCTION_WORDS[lang].split() for lang in _LANGS}
+_CONNECTIVES = {lang: frozenset(words.split()) for lang, words in CONNECTIVES.items()}
+
+
+def _opens(lang: str) -> re.Pattern:
+    words = "|".join(SUBORDINATORS[lang].split())
+    after = f"|,\\s+(?:{'|'.join(AFTER_COMMA[lang].split())})\\b" if lang in AFTER_COMMA else ""
+    return re.compile(f"\\b(?:{words})\\b{after}|[,;]|[.!?…]+(?=[\\s\"'»”)]|$)|\\n")
+
+
+_CLAUSES = {lang: _opens(lang) for lang in _LANGS}
 _WORD = re.compile(r"[^\W\d_]+")
 _UNIT = re.compile(r"[.!?…]+[\s\"'»”)]|\n+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]+")
 FEATURES = (
     "log_words", "word_length", "long_words", "syllables", "log_unit_length", "longest_unit", "diversity", "window_diversity", "rarity", "rare_words",
-    "very_rare_words", "connectives", "subordinators", "commas", "semicolons", "clause_depth", "digits", "capitals", "short_words", "questions",
+    "very_rare_words", "connectives", "subordinators", "commas", "semicolons", "clause_depth", "deepest_clause", "digits", "capitals", "short_words", "questions",
 )
 
 
-def _cells(word: str) -> tuple[int, int]:
-    h = zlib.crc32(word.encode("utf-8", "replace"))
-    return h % WIDTH, WIDTH + zlib.crc32(b"2", h) % WIDTH
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(WIDTH * DEPTH, dtype=np.int64)
+    seen: Counter[str] = Counter()
     for batch in batches:
-        seen: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             if text:
                 seen.update(_WORD.findall(text.lower()))
-        for word, n in seen.items():
-            for c in _cells(word):
-                cells[c] += n
-    at = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(cells[at], pa.int64())})
+        if len(seen) > _FLUSH:
+            yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
+            seen.clear()
+    yield pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+
+class Words:
+    """The counts of the most frequent words, and of all words together."""
+
+    def __init__(self, counts: dict[str, int], total: int):
+        self.counts, self.total = counts, float(max(total, 1))
 
+    def rarity(self, word: str) -> float:
+        """-log10 of the word's share of all words; of words beyond the head, that of one just rarer than it."""
+        return -math.log10(max(self.counts.get(word, 0) / self.total, HEAD / 2))
 
-def word_sketch(documents: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The count sketch over all texts; WIDTH * DEPTH numbers reach the driver."""
-    parts = spread(documents.select(F.col(text_col).cast("string"))).mapInArrow(_count, "cell int, n long")
-    rows = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(WIDTH * DEPTH, dtype=np.int64)
-    cells[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return cells
 
+def count_words(documents: DataFrame, text_col: str = "text") -> Words:
+    """Exact counts over all texts, of which the head reaches the driver."""
+    parts = spread(documents.select(F.col(text_col).cast("string"))).mapInArrow(_count, "word string, n long")
+    counts = cut(parts.groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    head = counts.where(F.col("n") >= HEAD * total).toArrow()
+    return Words(dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist())), total)
 
-def _facts(word: str, cells: np.ndarray, total: float) -> tuple:
-    """length, syllables, rarity (-log10 of the frequency), connective, subordinator."""
-    a, b = _cells(word)
-    n = min(cells[a], cells[b])
-    return len(word), max(1, len(_VOWELS.findall(word))), -math.log10(max(n, 0.5) / total), word in CONNECTIVES, word in SUBORDINATORS
 
+def language_of(counts: Counter) -> str | None:
+    """The language with most function words among the counted words; None without any."""
+    hits = {lang: sum(counts[w] for w in words) for lang, words in _FUNCTION.items()}
+    best = max(hits, key=hits.__getitem__)
+    return best if hits[best] else None
 
-def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[str, tuple]) -> list[float] | None:
+
+def clause_depths(low: str, lang: str | None) -> tuple[int, list[int]]:
+    """(subordinators, greatest depth of nesting per sentence): a proxy for clauses inside clauses.
+
+    A subordinating word opens a clause inside the one it stands in; a comma or semicolon ends the innermost open one (a comma that a
+    relative pronoun follows opens the next instead); a sentence mark or line end ends all.
+    """
+    if lang is None:
+        return 0, []
+    found, depths, depth, most = 0, [], 0, 0
+    for m in _CLAUSES[lang].finditer(low):
+        t = m[0]
+        if t in ",;":
+            depth -= depth > 0
+        elif t[0] in ".!?…\n":
+            if most or t[0] != "\n":
+                depths.append(most)
+            depth = most = 0
+        else:
+            found += 1
+            depth += 1
+            most = max(most, depth)
+    if most:
+        depths.append(most)
+    return found, depths
+
+
+def features_of(text: str | None, words_: Words, cache: dict[str, tuple]) -> list[float] | None:
     """The features in the order of ``FEATURES``; None for a text without words."""
     low = (text or "").lower()
     words = _WORD.findall(low)
@@ -88,14 +134,15 @@ def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[s
     if not n:
         return None
     counts = Counter(words)
+    lang = language_of(counts)
     length = syllables = rarity = 0.0
-    long_ = short = rare = very = connectives = subordinators = 0
+    long_ = short = rare = very = 0
     for word, k in counts.items():
         f = cache.get(word)
         if f is None:
             if len(cache) > 500_000:
                 cache.clear()
-            f = cache[word] = _facts(word, cells, total)
+            f = cache[word] = (len(word), max(1, len(_VOWELS.findall(word))), words_.rarity(word))
         length += f[0] * k
         syllables += f[1] * k
         rarity += f[2] * k
@@ -107,8 +154,8 @@ def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[s
             rare += k
             if f[2] > 5:
                 very += k
-        connectives += f[3] * k
-        subordinators += f[4] * k
+    connectives = sum(counts[w] for w in _CONNECTIVES[lang] if w in counts) if lang else 0
+    subordinators, depths = clause_depths(low, lang)
     units = [u for u in (s.count(" ") + 1 for s in _UNIT.split(text) if s and s.strip()) if u]
     m = max(1, len(units))
     windows = [*range(0, max(1, n - 49), 50), *([n - 50] if n > 50 and n % 50 else [])]  # the last one ends with the text
@@ -116,22 +163,21 @@ def features_of(text: str | None, cells: np.ndarray, total: float, cache: dict[s
     commas, semicolons = text.count(","), text.count(";") + text.count(":") + text.count("—") + text.count("(")
     return [
         math.log(n), length / n, long_ / n, syllables / n, math.log(n / m), math.log(max(units, default=1)), math.log(len(counts) + 1) / math.log(n + 1), window, rarity / n, rare / n,
-        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, (commas + connectives + subordinators) / m, sum(map(str.isdigit, low)) / len(low),
+        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, sum(depths) / max(1, len(depths)), max(depths, default=0), sum(map(str.isdigit, low)) / len(low),
         sum(map(str.isupper, text)) / max(len(text), 1), short / n, text.count("?") / m,
     ]
 
 
-def features(documents: DataFrame, cells: np.ndarray, keep: list[str]) -> DataFrame:
+def features(documents: DataFrame, words: Words, keep: list[str]) -> DataFrame:
     """``doc_id``, ``keep`` and ``features`` (null for texts without words) of each document."""
     narrow = documents.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]) + ", features array<double>"
-    total = float(max(cells[:WIDTH].sum(), 1))
-    ref = documents.sparkSession.sparkContext.broadcast(cells)
+    ref = documents.sparkSession.sparkContext.broadcast((words.counts, words.total))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cache = ref.value, {}
+        held, cache = Words(*ref.value), {}
         for batch in batches:
-            rows = [features_of(t, held, total, cache) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [features_of(t, held, cache) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
 
     return spread(narrow).mapInArrow(measure, schema)
@@ -237,7 +283,7 @@ def estimates(measured: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def levels(documents: DataFrame, labels: DataFrame, ratings: int = RATINGS) -> DataFrame:
     """doc_id, source, lang, reading_level, expected_level, confidence: one row per row of ``documents``."""
-    measured = cut(features(documents, word_sketch(documents), ["source", "lang"]))
+    measured = cut(features(documents, count_words(documents), ["source", "lang"]))
     return estimates(measured, train(measured, labels, ratings), ["source", "lang"])
 
 
@@ -246,3 +292,19 @@ def profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = levels(documents, labels)
     counts = [F.count_if(F.col("reading_level") == k).alias(f"level_{k}") for k in range(1, LEVELS + 1)]
     return rows.groupBy("source", "lang").agg(F.count("*").alias("documents"), F.avg("expected_level").alias("mean_level"), *counts)
+
+
+def accuracy(documents: DataFrame, labels: DataFrame, ratings: int = RATINGS) -> DataFrame:
+    """Per lang and rated level: ratings held out from the fit, and how near the estimates come: share right, mean error, mean estimate.
+
+    Every fifth document by a hash of its id is held out with all its ratings; the model is fitted on the others.
+    """
+    measured = cut(features(documents, count_words(documents), ["lang"]))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = train(measured, labels.where(~held), ratings)
+    given = labels.where(held & F.col("level").between(1, LEVELS)).select("doc_id", "rater", "level").dropDuplicates().select("doc_id", "level")
+    rows = estimates(measured.where(held), model, ["lang"]).join(given, "doc_id")
+    return rows.groupBy("lang", "level").agg(
+        F.count("*").alias("ratings"), F.avg((F.col("reading_level") == F.col("level")).cast("double")).alias("right_share"),
+        F.avg(F.abs(F.col("reading_level") - F.col("level"))).alias("mean_error"), F.avg("expected_level").alias("mean_estimate"),
+    )

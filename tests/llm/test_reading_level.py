@@ -21,12 +21,39 @@ def test_ordinal_fit_recovers_an_order():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+WORDS = rl.Words({}, 100)
+
+
 def test_features():
-    cells = np.zeros(rl.WIDTH * rl.DEPTH, dtype=np.int64)
-    assert rl.features_of(None, cells, 1.0, {}) is None and rl.features_of(" 12 --", cells, 1.0, {}) is None
-    row = rl.features_of("Because the cat sat, it slept. The end", cells, 100.0, {})
+    assert rl.features_of(None, WORDS, {}) is None and rl.features_of(" 12 --", WORDS, {}) is None
+    row = rl.features_of("Because the cat sat, it slept. The end", WORDS, {})
     named = dict(zip(rl.FEATURES, row))
     assert len(row) == len(rl.FEATURES) and named["connectives"] == 0.5 and named["commas"] == 0.5 and named["log_words"] == np.log(8)
+    assert named["clause_depth"] == 1 and named["deepest_clause"] == 1 and named["subordinators"] == 0.5
+
+
+def test_clause_depth_counts_clauses_inside_clauses():
+    for text, lang, found in (
+        ("he knew that the man who came when it rained was old. he left.", "en", [3, 0]),
+        ("if it rains, we stay, because it is cold.", "en", [1]),
+        ("der mann und die frau sehen das haus.", "de", [0]),
+        ("er weiß, dass der mann, der kam, alt ist, weil er es sah.", "de", [2]),
+        ("il sait que la femme qui vient est là. sin embargo.", "fr", [2, 0]),
+        ("one\ntwo\n", "en", []),
+    ):
+        assert rl.clause_depths(text, lang)[1] == found, text
+    assert rl.clause_depths("that which", None) == (0, [])
+    assert rl.language_of(rl.Counter("der hund und die katze sind in dem haus".split())) == "de" and rl.language_of(rl.Counter(["qqq"])) is None
+
+
+def test_words_are_counted_exactly_and_the_head_is_bounded(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(50)) for _ in range(300)] + [None, ""]
+    words = rl.count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = rl.Counter(w for t in texts if t for w in t.split())
+    assert words.counts == want and words.total == 15_000
+    assert words.rarity("unseen") > max(map(words.rarity, want)) and rl.Words({"a": 10**9}, 10**9).rarity("a") == 0
+    assert rl.Words({}, 0).rarity("x") > 5
 
 
 def text_of(level, rng):
@@ -58,21 +85,21 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[i].reading_level == truth[i] for i in held]) > 0.6
     assert got[9001].confidence == got[9002].confidence == 0.0 and got[9003].confidence > 0
     assert sum(r.documents for r in rl.profile(d, lab).collect()) == 903
+    held_out = rl.accuracy(d, lab).collect()
+    assert sum(r.ratings for r in held_out) > 100 and np.mean([r.mean_error for r in held_out]) < 0.8 and {r.level for r in held_out} == {1, 2, 3, 4, 5}
     none = rl.levels(d, lab.limit(0)).where("doc_id = 1").first()
     assert none.expected_level == 3.0 or abs(none.expected_level - 3) < 1e-6
     assert rl.levels(d.limit(0), lab).count() == 0
 
 
 def test_digits_count_over_the_whole_text():
-    cells = np.zeros(rl.WIDTH * rl.DEPTH, dtype=np.int64)
     text = "word " * 600 + "12345 " * 500
-    row = rl.features_of(text, cells, 100.0, {})
+    row = rl.features_of(text, WORDS, {})
     assert row[rl.FEATURES.index("digits")] == 2500 / 6000
 
 
 def test_windows_reach_the_last_word():
-    cells = np.zeros(rl.WIDTH * rl.DEPTH, dtype=np.int64)
     at, names = rl.FEATURES.index("window_diversity"), ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(100)]
-    diversity = lambda words: rl.features_of(" ".join(words), cells, 100.0, {})[at]
+    diversity = lambda words: rl.features_of(" ".join(words), WORDS, {})[at]
     assert diversity(names[:50] + ["same"] * 49) == (1 + 2 / 50) / 2
     assert diversity(names[:50]) == diversity(names) == 1 and diversity(["same"] * 100) == 1 / 50 and diversity(["same"] * 20) == 1 / 20
