@@ -44,6 +44,8 @@ SAID_CAP = 1.0
 #: A candidate limit holds at least so many values, and so many times what lengths nearby hold (templates make some
 #: lengths frequent); shorter ones are words and labels, whose lengths repeat anyway.
 LIMIT_COUNT, LIMIT_RATIO, NEARBY, LIMIT_LEAST = 6, 5.0, 25, 40
+#: Limits that are broadcast at most (about 20 MB).
+BROADCAST = 200_000
 #: The field name of whole texts.
 WHOLE = ""
 
@@ -190,18 +192,20 @@ def _lengths(replies: DataFrame) -> DataFrame:
     return replies.select("source", F.explode(F.concat(texts, narrow, "ended")).alias("v")).select("source", "v.*")
 
 
-def _by_length(rows: DataFrame, limits_: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``by_length``: the log odds that a length at a candidate limit gives, in characters or bytes; other rows are left out.
-
-    ``rows`` has ``keys``, source, field, length, octets.
-    """
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("length").alias("at")), F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("at"))))
-    named = list(dict.fromkeys([*keys, "source", "field"]))
-    asked = rows.select(*named, units.alias("u")).select(*named, "u.unit", "u.at")
+def _held(limits_: DataFrame) -> DataFrame:
+    """The limits as unit, source, field, at, odds, to be joined to values; broadcast if there are few, as a count of them tells."""
     p = F.least(F.greatest("posterior", F.lit(0.0)), F.lit(0.9999))
     odds = F.least(F.greatest(F.log((p + 1e-4) / (1 - p)), F.lit(0.0)), F.lit(LENGTH_CAP))
-    held = limits_.select(*_KEYS, F.col("length").cast("int").alias("at"), odds.alias("odds")).where("odds > 0")
-    return asked.join(held, [*_KEYS, "at"]).groupBy(*keys).agg(F.max("odds").alias("by_length"))
+    held = limits_.select("unit", "source", "field", F.col("length").cast("int").alias("at"), odds.alias("odds")).where("odds > 0")
+    return F.broadcast(held) if limits_.count() <= BROADCAST else held
+
+
+def _by_length(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """``rows`` (source, field, length, octets and others) with ``by_length``: the log odds of its length in characters or bytes, 0 at no limit."""
+    for unit, measured in (("chars", "length"), ("bytes", "octets")):
+        of_unit = held.where(F.col("unit") == unit).select("source", "field", F.col("at").alias(measured), F.col("odds").alias(unit))
+        rows = rows.join(of_unit, ["source", "field", measured], "left")
+    return rows.withColumn("by_length", F.greatest(F.coalesce("chars", F.lit(0.0)), F.coalesce("bytes", F.lit(0.0)))).drop("chars", "bytes")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -214,13 +218,8 @@ def judged(rows: DataFrame) -> DataFrame:
     ends = replies.select("id", "source", F.explode("endings").alias("e")).select("id", "source", "e.*")
     asked = ends.where("token <> '' and kind in ('word', 'marked', 'hanging')").groupBy("token").agg(F.count_if(~F.col("multi")).alias("ends"), F.count("*").alias("unmarked"))
     table = endings.token_table(rows.where("row = 'token'").select("token", "inner", "final"), asked)
-    limits_ = cut(censoring(_lengths(replies)))  # a few rows per source and field, read three times
-
-    whole = _by_length(replies.select("id", "source", F.lit(WHOLE).alias("field"), "length", "octets"), limits_, ["id"])
-    values = ends.where("field <> 'prose'").select("id", "source", "field", "length", "octets").unionByName(
-        replies.select("id", "source", F.explode("ended").alias("e")).select("id", "source", "e.*")
-    )
-    inside = _by_length(values, limits_, ["id", "field", "length"])
+    held = _held(cut(censoring(_lengths(replies))))
+    ended = _by_length(replies.select("id", "source", F.explode("ended").alias("e")).select("id", "source", "e.*"), held).where("by_length > 0")
 
     llr = F.coalesce(F.when(F.col("single"), F.col("word_llr")).otherwise(F.col("cut_llr")), F.lit(0.0))
     prior = F.when(F.col("multi"), PRIOR_MULTI).otherwise(PRIOR_SINGLE)
@@ -228,13 +227,10 @@ def judged(rows: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin("stop", "closed"), STOP_LLR).when(F.col("kind") == "open", 3.0)
         .when(F.col("kind") == "hanging", 2.5 + prior + llr).when(F.col("kind") == "marked", 2.0 + prior + llr).otherwise(prior + llr)
     )
-    scored = ends.join(table.select("token", "cut_llr", "word_llr"), "token", "left").select("id", "field", "length", "token", odds.alias("odds"), F.lit(0.0).alias("by_length"))
-    # A value at a limit, ended or not; it meets its ending in the grouping below. One that ended has no other row.
-    at_limit = inside.select("id", "field", "length", F.lit(None).cast("string").alias("token"), F.lit(None).cast("double").alias("odds"), "by_length")
-    per_value = scored.unionByName(at_limit).groupBy("id", "field", "length").agg(
-        F.max_by("token", "odds").alias("token"), F.coalesce(F.max("odds"), F.lit(STOP_LLR)).alias("odds"), F.max("by_length").alias("by_length")
-    )
-    worst = per_value.groupBy("id").agg(
+    scored = _by_length(ends, held).join(table.select("token", "cut_llr", "word_llr"), "token", "left").select("id", "field", "token", odds.alias("odds"), "by_length")
+    # Of the values that ended only those at a limit can count.
+    scored = scored.unionByName(ended.select("id", "field", F.lit("").alias("token"), F.lit(STOP_LLR).alias("odds"), "by_length"))
+    worst = scored.groupBy("id").agg(
         F.max(F.when(F.col("field") == "prose", F.col("odds"))).alias("prose_odds"),
         F.max(F.when(F.col("field") != "prose", F.col("odds") + F.col("by_length"))).alias("value_odds"),
         F.max(F.col("odds")).alias("plain_odds"), F.max("by_length").alias("value_length"),
@@ -244,7 +240,8 @@ def judged(rows: DataFrame) -> DataFrame:
     said = replies.groupBy("finish").agg(F.count_if("left_open").alias("open"), F.count("*").alias("n"))
     ratio = F.log((F.col("open") + 1) / F.lit(whole_open + 2.0)) - F.log((F.col("n") - F.col("open") + 1) / F.lit(whole_n - whole_open + 2.0))
     said = said.select("finish", F.least(F.greatest(ratio, F.lit(-SAID_CAP)), F.lit(SAID_CAP)).alias("said"))
-    joined = replies.select("id", "source", "finish", "length", "left_open", "shape").join(worst, "id", "left").join(whole.withColumnRenamed("by_length", "text_length"), "id", "left").join(said, "finish", "left")
+    texts = _by_length(replies.select("id", "source", "finish", "length", "octets", "left_open", "shape", F.lit(WHOLE).alias("field")), held)
+    joined = texts.withColumnRenamed("by_length", "text_length").drop("field").join(worst, "id", "left").join(said, "finish", "left")
     by_text, low = F.coalesce("text_length", F.lit(0.0)), F.lit(-20.0)
 
     def verdict(lengths: bool, nesting: bool) -> Column:
