@@ -74,14 +74,29 @@ def strip_fence(c: Column | str) -> Column:
     return F.when(t.startswith("```"), inner).otherwise(t)
 
 
+# Units of sizes, each 1024 of the one before.
+SIZE_UNITS = ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
+
+
 def format_bytes(c: Column | str) -> Column:
-    """1024-based size with at most two decimals ("1.5 KB"); 0, negative and null give "0 B"."""
+    """1024-based size with at most two decimals and no space ("1.5KB"); 0, negative and null give "0B"."""
     size = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)).cast("double")
-    units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")])
-    power = F.least(F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(1024.0)) + 1e-12), F.lit(4)).cast("int")
+    units = F.array(*[F.lit(u) for u in SIZE_UNITS])
+    power = F.least(F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(1024.0)) + 1e-12), F.lit(len(SIZE_UNITS) - 1)).cast("int")
     scaled = F.format_string("%.2f", size / F.pow(F.lit(1024.0), power))
     shown = F.regexp_replace(F.regexp_replace(scaled, r"0+$", ""), r"\.$", "")
-    return F.when(size <= 0, F.lit("0 B")).otherwise(F.concat(shown, F.lit(" "), F.element_at(units, power + 1)))
+    return F.when(size <= 0, F.lit("0B")).otherwise(F.concat(shown, F.element_at(units, power + 1)))
+
+
+def compact_stamp(c: Column | str) -> Column:
+    """A UTC time for names of files, sortable and without colons: ``20260830T143205.123Z``."""
+    return F.date_format(c, "yyyyMMdd'T'HHmmss.SSS'Z'")
+
+
+def readable_stamp(c: Column | str) -> Column:
+    """A UTC time for records (RFC 3339); the fraction has as many digits as it needs, none if it is 0."""
+    whole, part = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(c, "SSSSSS"), "0+$", "")
+    return F.concat(whole, F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
 
 
 def format_clock(seconds: Column) -> Column:

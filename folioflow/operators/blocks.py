@@ -41,23 +41,24 @@ def markdown_blocks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A line of one to six ``#`` and a space is a heading (leading white space is allowed, closing ``#`` are
     dropped); the lines between, each with its line break, are a body; blank bodies are dropped. Null
     and blank texts have no blocks.
+
+    All of a text's blocks are made within its row: the places of its headings are found once and the lines between them are
+    sliced out, so that nothing is shuffled and the work is linear in the lines.
     """
     body = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n", "\n"), r"\n$", "")
-    lines = texts.where(tx.blank_to_null(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
-    mark = F.regexp_extract("line", r"^[\s\p{Z}]*(#{1,6}) ", 1)
-    marked = lines.withColumn("level", F.length(mark))
-    # All of one text's lines come from one row, so that its blocks are a fold over that row's lines.
-    grouped = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "level", "line"))).alias("lines"))
-    folded = grouped.select("id", F.posexplode(F.expr(r"""
-        filter(aggregate(lines, cast(array() as array<struct<level:int,text:string>>), (blocks, x) -> CASE
-            WHEN x.level > 0 THEN array_append(blocks, named_struct('level', x.level, 'text', x.line))
-            WHEN size(blocks) > 0 AND element_at(blocks, -1).level = 0 THEN array_append(slice(blocks, 1, size(blocks) - 1), named_struct('level', 0, 'text', concat(element_at(blocks, -1).text, x.line, '\n')))
-            ELSE array_append(blocks, named_struct('level', 0, 'text', concat(x.line, '\n'))) END),
+    lines = texts.where(tx.blank_to_null(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(body, "\n").alias("lines"))
+    marked = lines.withColumn("levels", F.transform("lines", lambda s: F.length(F.regexp_extract(s, r"^[\s\p{Z}]*(#{1,6}) ", 1))))
+    headed = marked.withColumn("heads", F.expr("concat(array(-1), filter(sequence(0, size(lines) - 1), i -> levels[i] > 0))"))
+    blocks = headed.select("id", F.posexplode(F.expr(r"""
+        filter(flatten(transform(heads, (h, k) -> array(
+            named_struct('level', IF(h < 0, 0, levels[h]), 'text', IF(h < 0, NULL, lines[h])),
+            named_struct('level', 0, 'text', IF(coalesce(get(heads, k + 1), size(lines)) = h + 1, NULL,
+                concat(array_join(slice(lines, h + 2, coalesce(get(heads, k + 1), size(lines)) - h - 1), '\n'), '\n')))))),
             b -> b.level > 0 OR b.text RLIKE '[^\\s\\p{Z}]')
     """)).alias("ordinal", "b")).select("id", "ordinal", "b.*")
     title = tx.trim(F.regexp_replace(F.regexp_replace("text", r"^[\s\p{Z}]*#{1,6}", ""), r"#+[\s\p{Z}]*$", ""))
     is_heading = F.col("level") > 0
-    return folded.select("id", "ordinal", F.when(is_heading, "heading").otherwise("body").alias("kind"), F.when(is_heading, F.col("level")).alias("level"), F.when(is_heading, title).otherwise(F.col("text")).alias("text"))
+    return blocks.select("id", "ordinal", F.when(is_heading, "heading").otherwise("body").alias("kind"), F.when(is_heading, F.col("level")).alias("level"), F.when(is_heading, title).otherwise(F.col("text")).alias("text"))
 
 
 def plain_blocks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,6 +91,20 @@ def layout_block(block: Column) -> Column:
     return F.when(kind.isin("figure", "rule"), F.lit(None)).when(tx.blank_to_null(F.when(kind == "heading", other).otherwise(body)).isNull(), F.lit(None)).when(kind == "heading", heading).otherwise(plain)
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """id, ordinal, kind, level, text of pages (id, layout, markdown, text): the layout's blocks, else the markdown's, else the raw text.
+
+    A source that yields no block gives way to the next; a page of which all are empty or null has none.
+    """
+    given = pages.select("id", F.filter(F.transform("layout", layout_block), lambda b: b.isNotNull()).alias("made"), "markdown", "text")
+    laid = given.where(F.size("made") > 0).select("id", F.posexplode("made").alias("ordinal", "b")).select("id", "ordinal", "b.kind", F.col("b.level").cast("int").alias("level"), "b.text")
+    rest = given.where(F.coalesce(F.size("made"), F.lit(0)) <= 0).select("id", "markdown", "text")
+    # A markdown that is not blank has a block, its own or a body.
+    marked = markdown_blocks(rest, "id", "markdown")
+    raw = plain_blocks(rest.where(tx.blank_to_null("markdown").isNull()), "id", "text")
+    return laid.unionByName(marked).unionByName(raw)
+
+
 def table_lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, rows, rendered: the tab-separated lines of a text as table rows."""
     lines = F.filter(F.split(text_col, "\n"), lambda s: F.contains(s, F.lit("\t")))
@@ -104,6 +119,12 @@ def recognition_needed(pages: DataFrame) -> DataFrame:
     return share.withColumn("needed", F.col("share") >= RECOGNITION_SHARE)
 
 
+def recognition_of_files(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """file_id, needed: as ``recognition_needed``; a file that could not be probed has no pages, and is recognised, so that nothing is lost."""
+    known = recognition_needed(pages).select("file_id", "needed")
+    return files.select(F.col("id").alias("file_id")).join(known, "file_id", "left").withColumn("needed", F.coalesce("needed", F.lit(True)))
+
+
 def page_reasons(segments: DataFrame) -> DataFrame:
     """file_id, reasons: what a stored segment says about its page (no text, few words, marks of a scan)."""
     text = F.coalesce("text", F.lit(""))

@@ -31,10 +31,22 @@ def scores(graded: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("percent", percent).withColumn("tier", tier)
 
 
-def count_label(counts: dict[str, str]) -> Column:
-    """Counts that are not 0 with their names, joined by a middle dot: {name: column}."""
+# What a count of artifacts is called in listings.
+COUNT_NAMES = {"MCQ": "multiple_choice", "essay": "essay", "fill": "completion"}
+
+
+def count_label(counts: dict[str, str] = COUNT_NAMES) -> Column:
+    """Counts that are not 0 with their names, joined by a middle dot: {name: column}; a dash where all are 0."""
     parts = F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {name}"))) for name, c in counts.items()])
-    return F.array_join(F.filter(parts, lambda p: p.isNotNull()), " · ")
+    shown = F.array_join(F.filter(parts, lambda p: p.isNotNull()), " · ")
+    return F.when(shown == "", F.lit("—")).otherwise(shown)
+
+
+def file_label(count: Column | str, extensions: Column | str) -> Column:
+    """How many files there are, and their extensions if any: "3 files · MD, PDF"."""
+    n, e = (F.col(c) if isinstance(c, str) else c for c in (count, extensions))
+    files = F.concat(n.cast("string"), F.when(n == 1, " file").otherwise(" files"))
+    return F.when(F.coalesce(e, F.lit("")) == "", files).otherwise(F.concat(files, F.lit(" · "), e))
 
 
 def questions(artifacts: DataFrame) -> DataFrame:

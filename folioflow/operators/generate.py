@@ -33,6 +33,39 @@ TASKS = {
     "MindMap": "Draw the topic of the material and its branches as a tree of labels.",
 }
 MOST_ATTEMPTS = 3
+#: Concurrent callers of a backend at most.
+MOST_CALLERS = 32
+_STRING = {"type": "string"}
+
+
+def _object(**fields) -> dict:
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
+def _list(of: dict, least: int | None = None, most: int | None = None) -> dict:
+    return {"type": "array", "items": of} | ({"minItems": least, "maxItems": most} if least is not None else {})
+
+
+# The shape of each type's reply.
+SCHEMAS = {
+    "MultipleChoiceQuiz": _object(items=_list(_object(question=_STRING, options=_list(_STRING, 4, 4), answer=_STRING, explanation=_STRING))),
+    "EssayQuiz": _object(items=_list(_object(question=_STRING, instructions=_STRING, model_answer=_STRING))),
+    "CompletionQuiz": _object(items=_list(_object(sentence=_STRING, answer=_STRING, hint=_STRING))),
+    "Summary": _object(title=_STRING, summary=_STRING, key_points=_list(_STRING, 3, 5)),
+    "MindMap": _object(topic=_STRING, branches=_list({"$ref": "#/$defs/node"})) | {"$defs": {"node": _object(label=_STRING, children=_list({"$ref": "#/$defs/node"}))}},
+}
+
+
+def empty_reply(artifact_type: str) -> str:
+    """What a reply to material without content looks like."""
+    return json.dumps({ITEMS_FIELD.get(artifact_type, "items"): []})
+
+
+def system_prompt(artifact_type: str) -> str:
+    return (
+        "You write study material from a given text. State only what the text states; do not mention figures, tables, pages or the text itself; write in its language. "
+        f"Answer with one JSON object of the given schema and nothing else. If the text is front matter or has no content to learn, answer {empty_reply(artifact_type)}."
+    )
 
 
 @dataclass(frozen=True)
@@ -85,7 +118,7 @@ def max_tokens(artifact_type: Column | str, params: Params = Params()) -> Column
 
 
 def requests(units: DataFrame, contexts: DataFrame | None = None, params: Params = Params()) -> DataFrame:
-    """Units with prompt, temperature, max_tokens, seed and approximate input tokens; skipped units are left out.
+    """Units with system, prompt, schema, temperature, max_tokens, seed and approximate input tokens; skipped units are left out.
 
     ``contexts`` (segment_id, context) is joined where the units carry no context. A seed that would overflow is null.
     """
@@ -94,7 +127,9 @@ def requests(units: DataFrame, contexts: DataFrame | None = None, params: Params
         rows = rows.join(contexts, "segment_id")
     task = F.element_at(F.create_map(*[x for name, t in TASKS.items() for x in (F.lit(name), F.lit(t))]), F.col("artifact_type"))
     prompt = F.concat(task, F.lit("\n\nMaterial:\n"), "context")
+    by_type = lambda values: F.element_at(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v))]), F.col("artifact_type"))
     return rows.withColumn("prompt", prompt).withColumns({
+        "system": by_type({t: system_prompt(t) for t in TASKS}), "schema": by_type({t: json.dumps(v) for t, v in SCHEMAS.items()}),
         "temperature": temperature("artifact_type", params), "max_tokens": max_tokens("artifact_type", params),
         "seed": F.try_add(F.lit(params.seed).cast("long"), F.col("seed_offset")), "tokens_in": tx.approximate_tokens("prompt"),
     })
@@ -103,10 +138,11 @@ def requests(units: DataFrame, contexts: DataFrame | None = None, params: Params
 def run(requests_: DataFrame, backend: Backend | None = None, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """The requests' key columns with text, finish_reason, error, attempts, tokens_out.
 
-    Retryable errors are tried up to three times with growing pauses, others once; a blank reply is an answer (skip).
+    Retryable errors are tried up to three times with growing pauses, others once; a blank reply is an answer (skip). At least one
+    and at most ``MOST_CALLERS`` callers run at once.
     """
     backend = backend or Offline()
-    keys = [c for c in requests_.columns if c not in ("prompt", "context", "temperature", "max_tokens", "tokens_in")]
+    keys = [c for c in requests_.columns if c not in ("system", "prompt", "schema", "context", "temperature", "max_tokens", "tokens_in")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields if f.name in keys)
     schema += ", text string, finish_reason string, error string, attempts int, tokens_in long, tokens_out long"
 
@@ -127,7 +163,7 @@ def run(requests_: DataFrame, backend: Backend | None = None, concurrency: int =
             if out:
                 yield pd.DataFrame(out)
 
-    return requests_.repartition(concurrency).mapInPandas(call, schema)
+    return requests_.repartition(min(max(concurrency, 1), MOST_CALLERS)).mapInPandas(call, schema)
 
 
 def artifacts(replies: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -14,16 +14,18 @@ from folioflow.session import cut
 
 TARGET, MAXIMUM, MINIMUM = 1100, 1800, 150
 # Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = frozenset("a.m. dr. e.g. etc. i.e. mr. mrs. ms. no. p.m. prof. u.s.a. u.s. vs.".split())
+ABBREVIATIONS = ("a.m.", "dr.", "e.g.", "etc.", "i.e.", "mr.", "mrs.", "ms.", "no.", "p.m.", "prof.", "u.s.a.", "u.s.", "vs.")
+# The characters that count as white space at the ends of lines and sentences.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _STOP = re.compile(r"[.!?](?=[ \t\n\r\f]|$)")
 _TAIL = re.compile(r"[A-Za-z0-9.]*\.$")
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences of a text; a line's unfinished end goes on in the next line."""
+    """Sentences of a text; a line's unfinished end goes on in the next line. Only a line feed ends a line."""
     out: list[str] = []
     carried: list[str] = []
-    for line in (s.strip() for s in text.splitlines()):
+    for line in (s.strip(WHITE) for s in text.split("\n")):
         start = 0
         for m in _STOP.finditer(line):
             at, end = m.start(), m.end()
@@ -31,12 +33,12 @@ def sentences_of(text: str) -> list[str]:
                 around = line[at - 1 : at] + line[end : end + 1]
                 if "." in around or "…" in around or _TAIL.search(line[:end])[0].lower() in ABBREVIATIONS:
                     continue
-            piece = line[start:end].strip()
+            piece = line[start:end].strip(WHITE)
             if piece:
                 out.append(" ".join([*carried, piece]))
                 carried = []
             start = end
-        rest = line[start:].strip()
+        rest = line[start:].strip(WHITE)
         if rest:
             carried.append(rest)
     if carried:
@@ -107,12 +109,28 @@ def pack(pieces_: DataFrame) -> DataFrame:
     return joined.select("id", "section", "draft", "heading", tx.trim("text").alias("text"), "tokens").where("text <> ''")
 
 
+def byte_windows(text: str, width: int) -> list[str]:
+    """Pieces of at most ``width`` bytes of UTF-8 that are cut between characters."""
+    raw = text.encode("utf-8", "replace")
+    out, start = [], 0
+    while start < len(raw):
+        end = min(start + width, len(raw))
+        while end < len(raw) and end > start and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[start:end].decode())
+        start = end
+    return out
+
+
 def windows(drafts: DataFrame) -> DataFrame:
-    """Drafts beyond the maximum cut into windows of 4 * maximum characters, blank ones dropped; others unchanged."""
-    width = 4 * MAXIMUM
-    slices = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {width}) as int) - 1), i -> substring(text, i * {width} + 1, {width}))")
+    """Drafts beyond the maximum cut into windows of 4 * maximum bytes, blank ones dropped; others unchanged."""
+    @F.pandas_udf("array<string>")
+    def slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda text: byte_windows(text, 4 * MAXIMUM))
+
     fits = drafts.where(F.col("tokens") <= MAXIMUM).withColumn("window", F.lit(0))
-    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "section", "draft", "heading", F.posexplode(slices).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
+    long_ = drafts.where(F.col("tokens") > MAXIMUM).select("id", "section", "draft", "heading", F.posexplode(slices(F.col("text"))).alias("window", "text")).withColumn("tokens", tx.byte_tokens("text")).where(tx.blank_to_null("text").isNotNull())
     return fits.unionByName(long_.select(*fits.columns))
 
 
@@ -153,3 +171,9 @@ def number(segments: DataFrame, files: DataFrame, existing: DataFrame) -> DataFr
     joined = segments.withColumnRenamed("id", "file_id").join(before, "file_id").join(start, "worksheet_id", "left")
     position = (F.coalesce(F.col("last"), F.lit(-1)) + 1 + F.col("before") + F.col("segment")).cast("int")
     return joined.select("worksheet_id", "file_id", position.alias("position"), tx.blank_to_null("heading").alias("heading"), "text", "tokens")
+
+
+def totals(segments: DataFrame) -> DataFrame:
+    """id, segments, tokens, mean tokens per segment of each file (id, tokens)."""
+    rows = segments.groupBy("id").agg(F.count("*").alias("segments"), F.sum("tokens").alias("tokens"))
+    return rows.withColumn("tokens_per_segment", F.col("tokens") / F.col("segments"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranks, text as tx
+from folioflow.session import cut
 
 MIN_WORDS, LEAD, SAMPLE, COVER_BUDGET = 10, 800, 48, 8000
 # Headings and opening words of front matter, matched as substrings in lower case.
@@ -42,6 +46,22 @@ def usable(segments: DataFrame) -> DataFrame:
     return segments.where(~is_degenerate() & ~is_front_matter())
 
 
+class NoSegments(ValueError):
+    """There are no segments at all."""
+
+
+class NoUsableSegments(ValueError):
+    """There are segments, but all are degenerate or front matter."""
+
+
+def require_usable(segments: DataFrame) -> DataFrame:
+    """``usable(segments)``; ``NoSegments`` or ``NoUsableSegments`` where there are none."""
+    rows = usable(segments)
+    if rows.isEmpty():
+        raise NoSegments() if segments.isEmpty() else NoUsableSegments()
+    return rows
+
+
 def stride_sample(segments: DataFrame, cap: int = SAMPLE) -> DataFrame:
     """All of a worksheet's segments up to ``cap``, beyond that the ones at floor(i * n / cap), with their index and n."""
     ranked = ranks.rank(segments, ["worksheet_id"], "position", "__rank", ["id"])
@@ -85,15 +105,15 @@ def term_scores(segments: DataFrame, counts: DataFrame | None = None) -> DataFra
     return per_term.join(sizes, "worksheet_id").select("worksheet_id", "term", (F.col("n") * idf).alias("score"))
 
 
-def member_scores(segments: DataFrame) -> DataFrame:
+def member_scores(segments: DataFrame, counts: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """worksheet_id, id, position, score: the scores of a segment's distinct text terms added up; 0 without terms."""
-    counts = term_counts(segments)
-    scores = term_scores(segments, counts)
+    counts = term_counts(segments) if counts is None else counts
+    scores = term_scores(segments, counts) if scores is None else scores
     sums = counts.where("in_text").join(scores, ["worksheet_id", "term"]).groupBy("worksheet_id", "id").agg(F.sum("score").alias("score"))
     return segments.select("worksheet_id", "id", "position").join(sums, ["worksheet_id", "id"], "left").na.fill(0.0, ["score"])
 
 
-def topics(segments: DataFrame) -> DataFrame:
+def topics(segments: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Segments with topic (numbered from 0 within the worksheet) and label.
 
     A heading that is not blank opens a topic, others join the one before; a leading run without heading
@@ -102,49 +122,75 @@ def topics(segments: DataFrame) -> DataFrame:
     opens = tx.blank_to_null("heading").isNotNull()
     numbered = ranks.running_sum(segments, ["worksheet_id"], "position", F.when(opens, 1).otherwise(0).cast("long"), "__topic", ["id"])
     labels = numbered.where(opens).select("worksheet_id", "__topic", tx.blank_to_null("heading").alias("label"))
-    best = term_scores(segments).groupBy("worksheet_id").agg(F.min_by("term", F.struct(-F.round("score", 9), F.col("term"))).alias("best"))
+    scores = term_scores(segments) if scores is None else scores
+    best = scores.groupBy("worksheet_id").agg(F.min_by("term", F.struct(-F.round("score", 9), F.col("term"))).alias("best"))
     leading = numbered.where("__topic = 0").select("worksheet_id").dropDuplicates().withColumn("leading", F.lit(1))
     joined = numbered.join(labels, ["worksheet_id", "__topic"], "left").join(best, "worksheet_id", "left").join(leading, "worksheet_id", "left")
     first = F.when(F.col("leading").isNull(), 1).otherwise(0)
     return joined.withColumn("label", F.coalesce("label", "best", F.lit("General"))).withColumn("topic", F.col("__topic") - first).drop("__topic", "best", "leading")
 
 
-def covering(segments: DataFrame, budget: int = COVER_BUDGET) -> DataFrame:
-    """worksheet_id, id, position, topic, label, score, tokens of the selected usable segments.
+def _scored(segments: DataFrame) -> DataFrame:
+    """worksheet_id, id, position, topic, label, score, tokens, context of usable segments, written once to the shared folder.
 
-    Round robin over the topics, each giving its best segment left, until the budget is spent; a topic whose next
-    segment does not fit is closed; the very first pick is always taken. The fold sees no more than can
-    matter: of each topic the best segments that fit the budget together, and of equally long
-    topic heads the first budget/length.
+    The segments are written before, and the scores of terms, so that texts are filtered and split into terms once for each.
     """
-    scored = member_scores(segments).select("worksheet_id", "id", F.round("score", 9).alias("score"))
-    base = topics(segments).join(scored, ["worksheet_id", "id"]).select("worksheet_id", "id", "position", "topic", "label", "score", tx.approximate_tokens("text").alias("tokens"))
+    kept = cut(segments.select("worksheet_id", "id", "position", "heading", "text"))
+    counts = term_counts(kept)
+    scores = cut(term_scores(kept, counts))
+    members = member_scores(kept, counts, scores).select("worksheet_id", "id", F.round("score", 9).alias("score"))
+    joined = topics(kept, scores).join(members, ["worksheet_id", "id"])
+    return cut(joined.select("worksheet_id", "id", "position", "topic", "label", "score", tx.approximate_tokens("text").alias("tokens"), tx.section_context("heading", "text").alias("context")))
+
+
+def picked(order: list[dict], budget: int) -> list[str]:
+    """The ids taken from candidates in the order of rank and topic; a topic whose candidate does not fit is closed."""
+    spent, closed, out = 0, set(), []
+    for x in order:
+        if x["topic"] in closed:
+            continue
+        if out and spent + x["tokens"] > budget:
+            closed.add(x["topic"])
+        else:
+            spent += x["tokens"]
+            out.append(x["id"])
+    return out
+
+
+def _cover(base: DataFrame, budget: int) -> DataFrame:
+    """The rows of ``base`` (as ``_scored``) that the selection takes."""
+    @F.pandas_udf("array<string>")
+    def take(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda order: picked(order, budget))
+
+    narrow = base.drop("context")
     in_topic = Window.partitionBy("worksheet_id", "topic").orderBy(F.col("score").desc(), "position", "id")
-    ranked = base.withColumn("rank", F.row_number().over(in_topic)).where(F.col("rank") <= budget)
+    ranked = narrow.withColumn("rank", F.row_number().over(in_topic)).where(F.col("rank") <= budget)
     ranked = ranked.withColumn("spent", F.sum("tokens").over(in_topic.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("spent") <= budget) | (F.col("rank") == 1))
     same = Window.partitionBy("worksheet_id", "tokens").orderBy("topic")
     heads = ranked.where("rank = 1").withColumn("nth", F.row_number().over(same)).where((F.col("nth") * F.col("tokens") <= budget) | (F.col("topic") == 0))
     matter = ranked.join(heads.select("worksheet_id", "topic"), ["worksheet_id", "topic"], "left_semi")
-    step = F.struct("rank", "topic", "tokens", "id")
-    lists = matter.groupBy("worksheet_id").agg(F.array_sort(F.collect_list(step)).alias("order"))
-    picked = lists.select("worksheet_id", F.explode(F.expr(f"""
-        aggregate(order,
-            named_struct('spent', 0L, 'closed', cast(array() as array<bigint>), 'picked', cast(array() as array<string>)),
-            (s, x) -> CASE
-                WHEN array_contains(s.closed, x.topic) THEN s
-                WHEN s.spent + x.tokens > {int(budget)} AND size(s.picked) > 0 THEN named_struct('spent', s.spent, 'closed', array_append(s.closed, x.topic), 'picked', s.picked)
-                ELSE named_struct('spent', s.spent + x.tokens, 'closed', s.closed, 'picked', array_append(s.picked, x.id)) END,
-            s -> s.picked)
-    """)).alias("id"))
-    return base.join(picked, ["worksheet_id", "id"], "left_semi")
+    lists = matter.groupBy("worksheet_id").agg(F.array_sort(F.collect_list(F.struct("rank", "topic", "tokens", "id"))).alias("order"))
+    return base.join(lists.select("worksheet_id", F.explode(take("order")).alias("id")), ["worksheet_id", "id"], "left_semi")
+
+
+def covering(segments: DataFrame, budget: int = COVER_BUDGET) -> DataFrame:
+    """worksheet_id, id, position, topic, label, score, tokens of the selected usable segments.
+
+    Round robin over the topics, each giving its best segment left, until the budget is spent; a topic whose next
+    segment does not fit is closed; the very first pick is always taken. The fold sees no more than can
+    matter: of each topic the best segments that fit the budget together, and of equally long
+    topic heads the first budget/length; it is linear in them.
+    """
+    return _cover(_scored(segments), budget).drop("context")
 
 
 def merged_units(segments: DataFrame, artifacts: DataFrame, budget: int = COVER_BUDGET) -> DataFrame:
     """worksheet_id, artifact_type, type_index, source, context, seed_offset, skip of the Summary and MindMap units."""
-    rows = covering(segments, budget)
-    texts = segments.select("worksheet_id", "id", tx.section_context("heading", "text").alias("context"))
-    grouped = rows.join(texts, ["worksheet_id", "id"]).groupBy("worksheet_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "context"))).alias("s"))
-    names = topics(segments).select("worksheet_id", "topic", "label").dropDuplicates().groupBy("worksheet_id").agg(F.array_sort(F.collect_list(F.struct("topic", "label"))).alias("t"))
+    base = _scored(segments)
+    grouped = _cover(base, budget).groupBy("worksheet_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "context"))).alias("s"))
+    names = base.select("worksheet_id", "topic", "label").dropDuplicates().groupBy("worksheet_id").agg(F.array_sort(F.collect_list(F.struct("topic", "label"))).alias("t"))
     joined = grouped.join(names, "worksheet_id").select(
         "worksheet_id", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("source"), F.array_join(F.transform("s", lambda x: x["context"]), "\n\n").alias("body"),
         F.array_join(F.transform("t", lambda x: x["label"]), "; ").alias("labels"),

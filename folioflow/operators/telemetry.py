@@ -56,7 +56,7 @@ def stage_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def transport(replies: DataFrame) -> DataFrame:
-    """Per provider: records, replies, their share, retryable errors, median latency parts."""
+    """Per provider: records, replies, their share, retryable errors, time spent."""
     rows = replies.withColumn("class", error_class("error"))
     return rows.groupBy("provider").agg(
         F.count("*").alias("records"), F.count_if(F.col("status") == "ok").alias("replies"), F.count_if(F.col("class").isin(*RETRYABLE)).alias("retryable"),
@@ -70,6 +70,34 @@ def errors(replies: DataFrame) -> DataFrame:
     return rows.withColumn("retryable", F.coalesce(F.col("error_class").isin(*RETRYABLE), F.lit(False)))
 
 
+def acceptance(verdicts: DataFrame, records: DataFrame) -> DataFrame:
+    """Per unit_type: records, replies, accepted, rejected and skipped ones, and the share accepted of replies and of records.
+
+    ``verdicts`` has a row (reply_id, unit_type, verdict) per reply with text, ``records`` (unit_type) per response record.
+    """
+    judged = verdicts.groupBy("unit_type").agg(
+        F.count("*").alias("replies"), F.count_if(F.col("verdict") == "ok").alias("accepted"), F.count_if(F.col("verdict") == "rejected").alias("rejected"), F.count_if(F.col("verdict") == "skipped").alias("skipped")
+    )
+    joined = records.groupBy("unit_type").agg(F.count("*").alias("records")).join(judged, "unit_type", "left").na.fill(0, ["replies", "accepted", "rejected", "skipped"])
+    return joined.withColumns({"accepted_of_replies": F.try_divide("accepted", "replies"), "accepted_of_records": F.try_divide("accepted", "records")})
+
+
+def latency(records: DataFrame) -> DataFrame:
+    """Per status (ok or error): n, mean, median, minimum, maximum, total and p90 of elapsed_ms; negative and null times are left out."""
+    return stage_summary(records.where("elapsed_ms >= 0"), ["status"], "elapsed_ms")
+
+
+def attempts(records: DataFrame) -> DataFrame:
+    """attempt, n."""
+    return records.groupBy("attempt").agg(F.count("*").alias("n"))
+
+
+def accepted_questions(verdicts: DataFrame) -> DataFrame:
+    """Per unit_type: accepted units, their questions, and questions per unit; types without accepted units have no row."""
+    ok = verdicts.where("verdict = 'ok'")
+    return ok.groupBy("unit_type").agg(F.count("*").alias("units"), F.sum("accepted").alias("questions"), F.avg("accepted").alias("per_unit"))
+
+
 def questions_per_unit(items: DataFrame) -> DataFrame:
     """Per worksheet: units with items, items, and items per unit."""
     units = items.groupBy("worksheet_id", "reply_id").agg(F.count("*").alias("n"))

@@ -43,6 +43,7 @@ def is_truncated(finish_reason: Column | str) -> Column:
     return F.coalesce(F.lower(finish_reason) == "length", F.lit(False))
 
 
+# Fixed values in the rules below: the wording of each reason.
 def mcq_reason(question: str = "question", options: str = "options", answer: str = "answer") -> Column:
     """Why a multiple-choice item is rejected, by the first rule that it breaks; null if it is accepted.
 
@@ -167,6 +168,18 @@ def mind_maps(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("map"))
 
 
+def rejection_reasons(replies: DataFrame, segments: DataFrame) -> DataFrame:
+    """unit_type, reason, n of the rejected items, and of whole replies: ``truncated``, ``no readable JSON``, ``missing item array``."""
+    ok = replies.where((F.col("status") == "ok") & tx.blank_to_null("text").isNotNull())
+    kinds = ok.select("reply_id", "unit_type")
+    of_items = completion_items(ok, segments).unionByName(essay_items(ok)).unionByName(reply_mcq_items(ok)).where("reason is not null").join(kinds, "reply_id")
+    v = recovered("text")
+    listed = F.try_variant_get(v, "$.items", "array<variant>").isNotNull()
+    whole = F.when(is_truncated("finish_reason"), "truncated").when(v.isNull(), "no readable JSON").when(~F.coalesce(listed, F.lit(False)), "missing item array")
+    of_replies = ok.where(~F.col("unit_type").isin("Summary", "MindMap")).select("unit_type", whole.alias("reason")).where("reason is not null")
+    return of_items.select("unit_type", "reason").unionByName(of_replies).groupBy("unit_type", "reason").agg(F.count("*").alias("n"))
+
+
 def verdicts(replies: DataFrame, segments: DataFrame) -> DataFrame:
     """reply_id, unit_type, accepted, rejected, verdict: ok, rejected or skipped, one row per reply with status ok.
 

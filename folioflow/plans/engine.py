@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
-from folioflow.operators import catalog, consume, generate, segments, selection
+from folioflow.operators import blocks, catalog, consume, generate, segments, selection
 from folioflow.session import cut, ship
 from folioflow.sources import files as sources
 from folioflow.sources.store import Store
@@ -17,12 +17,21 @@ def _id(*parts: str) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256), 1, 26)
 
 
+#: Units of a wave: what a failure may lose.
+WAVE = 10_000
+
+
+class Stopped(Exception):
+    """The job was cancelled."""
+
+
 class Engine:
     """Every method reads the store's tables, computes with the operators, and writes back what changed."""
 
     def __init__(self, spark: SparkSession, folder: str, backend: generate.Backend | None = None, parser: sources.Parser | None = None, params: generate.Params = generate.Params()):
         ship(spark)
         self.spark, self.store, self.backend, self.parser, self.params = spark, Store(spark, folder), backend, parser, params
+        self._live: set[str] = set()
 
     def create_worksheet(self, name: str, paths: list[str]) -> str:
         """A new worksheet over files; a blank name becomes ``Untitled Worksheet``. Returns its id."""
@@ -36,18 +45,66 @@ class Engine:
             self.store.append("files", found.withColumn("id", _id("worksheet_id", "path")).where("parser is not null"))
         return row.id
 
+    def run(self, worksheet_id: str, types: list[str] | None = None, concurrency: int = 8) -> bool:
+        """Ingest and generate as one job; False, and nothing done, if the worksheet has a live one.
+
+        The state is running meanwhile, then done, or failed with the error, which is raised again. A job that was stopped stays
+        cancelled, whatever it was just finishing.
+        """
+        state = self._state(worksheet_id)
+        if state == "running" and worksheet_id in self._live:
+            return False
+        self._live.add(worksheet_id)
+        self._set(worksheet_id, list(catalog.STATES), "running")
+        try:
+            self.ingest(worksheet_id)
+            self._check(worksheet_id)
+            self.generate(worksheet_id, types, concurrency)
+        except Stopped:
+            pass
+        except Exception as error:
+            self._set(worksheet_id, ["running"], "failed", str(error) or type(error).__name__)
+            raise
+        finally:
+            self._live.discard(worksheet_id)
+        return True
+
+    def stop(self, worksheet_id: str) -> bool:
+        """Cancel what runs or waits; a running job ends before its next wave. False if there was nothing to stop."""
+        hit = self._state(worksheet_id) in ("running", "idle")
+        self._set(worksheet_id, ["running", "idle"], "cancelled")
+        return hit
+
+    def resume(self, worksheet_id: str) -> str:
+        """Go on with a worksheet that is neither done, failed nor cancelled, and return its state; what is stored is not made again."""
+        if self._state(worksheet_id) in ("running", "idle"):
+            self.run(worksheet_id)
+        return self._state(worksheet_id)
+
+    def resume_stale(self) -> list[str]:
+        """Go on with all worksheets that an earlier process left running; their ids."""
+        ids = [r.id for r in catalog.stale(self.store.read("worksheets")).collect() if r.id not in self._live]
+        for one in ids:
+            self.run(one)
+        return ids
+
     def ingest(self, worksheet_id: str) -> None:
-        """Segments of the worksheet's files that have none yet: copies of the same file elsewhere, else parsed."""
+        """Segments of the worksheet's files that have none yet: copies of the same file elsewhere, else parsed.
+
+        A worksheet without files is an error, and so is a file that needs a parser where there is none.
+        """
         files, chunks = self.store.read("files"), self.store.read("chunks")
         own = files.where(F.col("worksheet_id") == worksheet_id)
-        copies = catalog.reuse(files, chunks).where(F.col("worksheet_id") == worksheet_id).select("worksheet_id", "file_id", "position", "heading", "text")
-        copies = cut(copies)
+        if own.isEmpty():
+            raise ValueError("the worksheet has no files")
+        copies = cut(catalog.reuse(files, chunks).where(F.col("worksheet_id") == worksheet_id).select("worksheet_id", "file_id", "position", "heading", "text"))
         present = chunks.select("worksheet_id", "file_id", "position").unionByName(copies.select("worksheet_id", "file_id", "position"))
-        pending = catalog.unchunked(own, present).select("id", "path", "extension", "worksheet_id", "created_at").withColumn("parser", _parser_column())
+        pending = catalog.unchunked(own, present).select("id", "path", "extension", "worksheet_id", "created_at").withColumn("parser", blocks.parser_of("extension"))
         made = segments.segment(sources.read_blocks(self.spark, cut(pending), self.parser))
         numbered = segments.number(made, own, present).select("worksheet_id", "file_id", "position", "heading", "text")
         new = copies.unionByName(numbered).withColumn("created_at", F.current_timestamp())
         self.store.append("chunks", cut(new.withColumn("id", _id("worksheet_id", "file_id", "position"))))
+        self._touch(worksheet_id)
 
     def segments(self, worksheet_id: str) -> DataFrame:
         return self.store.read("chunks").where(F.col("worksheet_id") == worksheet_id).orderBy("position", "id")
@@ -62,37 +119,59 @@ class Engine:
         columns = ["worksheet_id", "artifact_type", "type_index", "segment_id", "context", "seed_offset", "skip"]
         return quiz.select(*columns).unionByName(merged.select(*columns))
 
-    def generate(self, worksheet_id: str, types: list[str] | None = None, concurrency: int = 8) -> DataFrame:
+    def generate(self, worksheet_id: str, types: list[str] | None = None, concurrency: int = 8, wave: int = WAVE) -> DataFrame:
         """Run the units that are not done, store the accepted artifacts, and return the telemetry by type.
 
-        Fails, and marks the worksheet failed, if every unit that ran met a backend error.
+        Units run in waves, and what a wave made is stored before the next one, so that a job that fails or is stopped keeps it. Fails,
+        and marks the worksheet failed, if every unit that ran met a backend error, or if there are no usable segments.
         """
-        units = self.units(worksheet_id)
-        if types is not None:
-            units = units.where(F.col("artifact_type").isin(*types))
         self._set(worksheet_id, list(catalog.STATES), "running")
-        requests = cut(generate.requests(units, None, self.params))
-        replies = cut(generate.run(requests, self.backend, concurrency))
-        told = cut(generate.telemetry_of(replies))
-        total = told.agg(F.sum("units").alias("units"), F.sum("backend_errors").alias("errors")).first()
-        if total.units and total.units == total.errors:
-            self._set(worksheet_id, ["running"], "failed", "every unit met a backend error")
-            raise RuntimeError("every unit met a backend error")
-        contexts = requests.select("segment_id", "context").dropDuplicates(["segment_id"])
-        made = generate.artifacts(replies, contexts).withColumn("id", _id("worksheet_id", "artifact_type", "source", "ordinal")).withColumn("created_at", F.current_timestamp())
-        known = self.store.read("artifacts")
-        self.store.append("artifacts", made.join(known.select("id"), "id", "left_anti"))
+        try:
+            selection.require_usable(self.segments(worksheet_id))
+            units = self.units(worksheet_id)
+            if types is not None:
+                units = units.where(F.col("artifact_type").isin(*types))
+            requests = cut(generate.requests(units, None, self.params))
+            waves = max(1, -(-requests.count() // wave))
+            turn = F.pmod(F.xxhash64("artifact_type", "segment_id"), F.lit(waves))
+            told = None
+            for n in range(waves):
+                self._check(worksheet_id)
+                of_wave = requests.where(turn == n)
+                replies = cut(generate.run(of_wave, self.backend, concurrency))
+                made = generate.artifacts(replies, of_wave.select("segment_id", "context").dropDuplicates(["segment_id"]))
+                made = made.withColumn("id", _id("worksheet_id", "artifact_type", "source", "ordinal")).withColumn("created_at", F.current_timestamp())
+                self.store.append("artifacts", cut(made.join(self.store.read("artifacts").select("id"), "id", "left_anti")))
+                one = generate.telemetry_of(replies)
+                told = one if told is None else told.unionByName(one)
+            sums = [F.sum(c).alias(c) for c in told.columns if c != "artifact_type"]
+            told = cut(told.groupBy("artifact_type").agg(*sums))
+            total = told.agg(F.sum("units").alias("units"), F.sum("backend_errors").alias("errors")).first()
+            if total.units and total.units == total.errors:
+                raise RuntimeError("every unit met a backend error")
+        except Stopped:
+            raise
+        except Exception as error:
+            self._set(worksheet_id, ["running"], "failed", str(error) or type(error).__name__)
+            raise
         self._set(worksheet_id, ["running"], "done")
         return told
 
     def regenerate(self, worksheet_id: str, types: list[str]) -> DataFrame:
-        """Delete the artifacts of these types and make them anew."""
+        """Delete the artifacts of these types and make them anew; refused while a job runs."""
         if not types:
             raise ValueError("no types to regenerate")
+        if self._state(worksheet_id) == "running":
+            raise RuntimeError("the worksheet is running")
         keys = self.spark.createDataFrame([(worksheet_id,)], "worksheet_id string")
         self.store.write("artifacts", cut(catalog.delete_artifacts(self.store.read("artifacts"), keys, types)))
         return self.generate(worksheet_id, types)
 
+    def progress(self, worksheet_id: str) -> DataFrame:
+        """artifact_type, done, total, complete, generating of the worksheet's units."""
+        rows = catalog.progress(self.units(worksheet_id)).withColumn("state", F.lit(self._state(worksheet_id)))
+        return rows.select("artifact_type", "done", "total", "complete", consume.generating("state", "done", "total").alias("generating"))
+
     def artifacts(self, worksheet_id: str, artifact_type: str, n: int | None = None, seed: int = 1) -> DataFrame:
         return catalog.sample(self.store.read("artifacts").where(F.col("worksheet_id") == worksheet_id), artifact_type, n, seed)
 
@@ -128,14 +207,27 @@ class Engine:
         for (name, _), rows in zip(names, catalog.delete_worksheets(gone, *[(self.store.read(n), c) for n, c in names])):
             self.store.write(name, cut(rows))
 
-    def _set(self, worksheet_id: str, allowed: list[str], to: str, error: str | None = None) -> None:
-        worksheets = self.store.read("worksheets")
-        hit = (F.col("id") == worksheet_id) & F.col("pipeline_status").isin(*allowed)
-        changed = worksheets.withColumn("updated_at", F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))).withColumn("pipeline_error", F.when(hit, F.lit(error)).otherwise(F.col("pipeline_error")))
-        self.store.write("worksheets", cut(changed.withColumn("pipeline_status", F.when(hit, F.lit(to)).otherwise(F.col("pipeline_status")))))
+    def _state(self, worksheet_id: str) -> str:
+        """The state; an unknown worksheet is an error."""
+        row = self.status(worksheet_id).first()
+        if row is None:
+            raise KeyError(worksheet_id)
+        return row.state
+
+    def _check(self, worksheet_id: str) -> None:
+        if self._state(worksheet_id) == "cancelled":
+            raise Stopped(worksheet_id)
 
+    def _touch(self, worksheet_id: str) -> None:
+        """Note the time of a change."""
+        self._change(F.col("id") == worksheet_id, {})
 
-def _parser_column() -> F.Column:
-    from folioflow.operators.blocks import parser_of
+    def _set(self, worksheet_id: str, allowed: list[str], to: str, error: str | None = None) -> None:
+        hit = (F.col("id") == worksheet_id) & F.col("pipeline_status").isin(*allowed)
+        self._change(hit, {"pipeline_error": F.lit(error), "pipeline_status": F.lit(to)})
 
-    return parser_of("extension")
+    def _change(self, hit: F.Column, values: dict[str, F.Column]) -> None:
+        rows = self.store.read("worksheets").withColumn("__hit", hit)
+        for name, value in {"updated_at": F.current_timestamp(), **values}.items():
+            rows = rows.withColumn(name, F.when(F.col("__hit"), value).otherwise(F.col(name)))
+        self.store.write("worksheets", cut(rows.drop("__hit")))

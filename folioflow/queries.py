@@ -123,6 +123,17 @@ def heading_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.histogram(markdown_blocks(spark, folder)).select("id", "headings")
 
 
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)), 1) AS pos FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')),
+    k AS (SELECT *, regexp_matches(line, '^[\s\p{Z}]*#{1,6} ') AS head FROM l), g AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM k),
+    b AS (SELECT doc_id, section, bool_or(NOT head AND regexp_matches(line, '[^\s\p{Z}]')) AS body, bool_or(head) AS head FROM g GROUP BY 1, 2)
+    SELECT doc_id AS id, count(*) FILTER (body) AS bodies, count(*) FILTER (head) AS headings FROM b GROUP BY 1
+""")
+def block_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of each text by kind."""
+    return blocks.histogram(markdown_blocks(spark, folder))
+
+
 @query(f"""
     WITH {CHUNKS}, l AS (SELECT id, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda s: contains(s, chr(9))),
         lambda s: array_to_string(list_filter(list_transform(string_split(s, chr(9)), lambda x: {TRIM.format('x')}), lambda x: x <> ''), chr(9))), lambda x: x <> '') AS rows FROM c)
@@ -141,6 +152,36 @@ def recognition_gate(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.recognition_needed(pages).withColumn("share", F.round("share", 9))
 
 
+_ROWS_OF = f"""list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda s: contains(s, chr(9))),
+        lambda s: array_to_string(list_filter(list_transform(string_split(s, chr(9)), lambda x: {TRIM.format('x')}), lambda x: x <> ''), chr(9))), lambda x: x <> '')"""
+
+
+@query(f"""
+    WITH {CHUNKS}, p AS (SELECT id, text, {TRIM.format("coalesce(heading, '')")} AS head, coalesce({_ROWS_OF}, []) AS lines FROM c),
+    q AS (SELECT *, len(lines) > 0 AS laid, len(lines) = 0 AND head <> '' AS marked FROM p)
+    SELECT id, 0 AS ordinal, 'heading' AS kind, CASE WHEN laid THEN 6 ELSE 1 END AS level, CASE WHEN laid THEN head ELSE replace(head, chr(10), ' ') END AS text FROM q WHERE head <> '' AND (laid OR marked)
+    UNION ALL SELECT id, CASE WHEN head <> '' THEN 1 ELSE 0 END, 'body', NULL, array_to_string(list_transform(lines, lambda x: x || chr(10)), '') FROM q WHERE laid
+    UNION ALL SELECT id, CASE WHEN marked THEN 1 ELSE 0 END, 'body', NULL, CASE WHEN marked THEN text || chr(10) ELSE text END FROM q WHERE NOT laid AND regexp_matches(text, '[^\\s\\p{{Z}}]')
+""")
+def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks as pages: those with rows of a table have a layout, others with a heading a markdown, the rest only text.
+
+    A text that itself holds a markdown heading or ends a line differently is left as it stands in the raw text.
+    """
+    chunks = _once(spark, folder, "chunks")
+    lines = F.filter(F.split("text", "\n"), lambda s: F.contains(s, F.lit("\t")))
+    none = {"level": F.lit(None).cast("int"), "text": F.lit(None).cast("string"), "lines": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>")}
+
+    def block(kind: str, **given) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), *[given.get(n, c).alias(n) for n, c in none.items()])
+
+    rows = F.transform(lines, lambda s: F.split(s, "\t"))
+    full = F.exists(rows, lambda r: blocks.render_row(r) != "")
+    layout = F.when(full, F.array(block("figure"), block("heading", level=F.lit(9), text=F.coalesce("heading", F.lit(""))), block("table", rows=rows)))
+    marked = F.when(~F.coalesce(full, F.lit(False)) & tx.blank_to_null("heading").isNotNull(), F.concat(F.lit("# "), F.replace(tx.trim("heading"), F.lit("\n"), F.lit(" ")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")))
+    return blocks.page_blocks(chunks.select("id", layout.alias("layout"), marked.alias("markdown"), "text"))
+
+
 @query(f"SELECT id, {TRIM.format('name')} AS name, CASE WHEN {TRIM.format('name')} = '' THEN 'Untitled Worksheet' ELSE coalesce({TRIM.format('name')}, 'Untitled Worksheet') END AS shown, CASE WHEN regexp_replace(coalesce(name, ''), '[^A-Za-z0-9_-]', '_', 'g') = '' THEN 'unnamed' ELSE regexp_replace(coalesce(name, ''), '[^A-Za-z0-9_-]', '_', 'g') END AS label FROM worksheets")
 def worksheet_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "worksheets").select("id", tx.trim("name").alias("name"), catalog.clean_name("name").alias("shown"), tx.label("name").alias("label"))
@@ -154,7 +195,17 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "chunks").select("id", tx.byte_tokens("text").alias("tokens"), tx.approximate_tokens("text").alias("approximate"))
 
 
-@query()
+_ABBREVIATIONS = "(" + ", ".join(f"'{a}'" for a in segments.ABBREVIATIONS) + ")"
+
+
+@query(f"""
+    WITH {CHUNKS}, j AS (SELECT id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format('x')}), lambda x: x <> ''), ' ') AS t FROM c),
+    w AS (SELECT id, unnest(regexp_extract_all(t, '[^ \\t\\r\\f]+|[ \\t\\r\\f]')) AS w, generate_subscripts(regexp_extract_all(t, '[^ \\t\\r\\f]+|[ \\t\\r\\f]'), 1) AS i FROM j),
+    e AS (SELECT *, regexp_matches(w, '[.!?]$') AND NOT (ends_with(w, '.') AND (regexp_matches(w, '[.…]\\.$') OR lower(regexp_extract(w, '[A-Za-z0-9.]*$')) IN {_ABBREVIATIONS})) AS ends FROM w),
+    g AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
+    x AS (SELECT id, s, {TRIM.format("string_agg(w, '' ORDER BY i)")} AS sentence FROM g GROUP BY 1, 2)
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INTEGER) AS ordinal, sentence FROM x WHERE sentence <> ''
+""")
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return segments.sentences(_once(spark, folder, "chunks"), "id", "text")
 
@@ -173,6 +224,13 @@ def numbered_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segments.number(segments.segment(made.unionByName(bodies)), _once(spark, folder, "files"), chunks)
 
 
+@query(f"WITH {CHUNKS}, t AS (SELECT file_id AS id, CAST(coalesce(strlen(text) // 4, 0) AS BIGINT) AS n FROM c) SELECT id, count(*) AS segments, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n) / count(*), 9) AS tokens_per_segment FROM t GROUP BY 1")
+def segment_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments and tokens of each file."""
+    rows = _once(spark, folder, "chunks").select(F.col("file_id").alias("id"), tx.byte_tokens("text").alias("tokens"))
+    return segments.totals(rows).withColumn("tokens_per_segment", F.round("tokens_per_segment", 9))
+
+
 @query(f"WITH {CHUNKS} SELECT id, CAST({_WORDS} AS INTEGER) AS words, {_WORDS} < 10 AS degenerate FROM c")
 def degenerate_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "chunks").select("id", tx.meaningful_words("text").alias("words"), selection.is_degenerate().alias("degenerate"))
@@ -229,23 +287,41 @@ def member_scores(spark: SparkSession, folder: str) -> DataFrame:
 HEAD = f"nullif({TRIM.format('heading')}, '')"
 
 
-@query(f"""
-    WITH {CHUNKS}, {USABLE}, {TERMS},
-    best AS (SELECT worksheet_id, arg_min(term, (-round(score, 9), term)) AS best FROM s GROUP BY 1),
+TOPICS = f"""best AS (SELECT worksheet_id, arg_min(term, (-round(score, 9), term)) AS best FROM s GROUP BY 1),
     o AS (SELECT *, {HEAD} AS own, sum(CASE WHEN {HEAD} IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY worksheet_id ORDER BY position, id ROWS UNBOUNDED PRECEDING) AS t FROM u),
-    z AS (SELECT *, min(t) OVER (PARTITION BY worksheet_id) AS t0, first_value(own) OVER (PARTITION BY worksheet_id, t ORDER BY position, id) AS label FROM o)
-    SELECT z.worksheet_id, id, CAST(t - CASE WHEN t0 = 0 THEN 0 ELSE 1 END AS BIGINT) AS topic, coalesce(label, best, 'General') AS label FROM z LEFT JOIN best USING (worksheet_id)
-""")
+    z AS (SELECT *, min(t) OVER (PARTITION BY worksheet_id) AS t0, first_value(own) OVER (PARTITION BY worksheet_id, t ORDER BY position, id) AS label FROM o),
+    p AS (SELECT z.worksheet_id, z.id, z.position, z.heading, z.text, CAST(t - CASE WHEN t0 = 0 THEN 0 ELSE 1 END AS BIGINT) AS topic, coalesce(label, best, 'General') AS label FROM z LEFT JOIN best USING (worksheet_id))"""
+# The round robin over topics, one candidate after the other.
+COVER = f"""k AS (
+        SELECT p.*, m.score, greatest(CAST(coalesce(strlen(text) // 4, 0) AS BIGINT), 1) AS tokens,
+            row_number() OVER (PARTITION BY p.worksheet_id, topic ORDER BY round(m.score, 9) DESC, p.position, p.id) AS rank FROM p JOIN m ON m.worksheet_id = p.worksheet_id AND m.id = p.id
+    ), ordered AS (SELECT worksheet_id, id, topic, tokens, row_number() OVER (PARTITION BY worksheet_id ORDER BY rank, topic) AS nth FROM k),
+    f AS (
+        SELECT DISTINCT worksheet_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS id, CAST(0 AS BIGINT) AS spent, false AS taken, 0 AS n, CAST([] AS BIGINT[]) AS closed FROM ordered
+        UNION ALL
+        SELECT worksheet_id, nth, id, CASE WHEN take THEN spent + tokens ELSE spent END, take, CASE WHEN take THEN n + 1 ELSE n END, CASE WHEN take OR list_contains(closed, topic) THEN closed ELSE list_append(closed, topic) END
+        FROM (SELECT o.*, f.spent, f.n, f.closed, NOT list_contains(f.closed, o.topic) AND (f.n = 0 OR f.spent + o.tokens <= {selection.COVER_BUDGET}) AS take FROM f JOIN ordered o ON o.worksheet_id = f.worksheet_id AND o.nth = f.nth + 1)
+    ), covered AS (SELECT k.* FROM k JOIN f ON f.worksheet_id = k.worksheet_id AND f.id = k.id WHERE f.taken)"""
+
+
+@query(f"WITH {CHUNKS}, {USABLE}, {TERMS}, {TOPICS} SELECT worksheet_id, id, topic, label FROM p")
 def topics(spark: SparkSession, folder: str) -> DataFrame:
     return selection.topics(_usable(spark, folder)).select("worksheet_id", "id", "topic", "label")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKS}, {USABLE}, {TERMS}, {MEMBERS}, {TOPICS}, {COVER} SELECT worksheet_id, id, position, topic, label, tokens FROM covered")
 def covering_segments(spark: SparkSession, folder: str) -> DataFrame:
     return selection.covering(_usable(spark, folder)).select("worksheet_id", "id", "position", "topic", "label", "tokens")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {CHUNKS}, {ARTIFACTS}, {USABLE}, {TERMS}, {MEMBERS}, {TOPICS}, {COVER},
+    body AS (SELECT worksheet_id, string_agg(id, ',' ORDER BY position, id) AS source, string_agg(CASE WHEN heading IS NOT NULL THEN '[Section: ' || heading || ']' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END, chr(10) || chr(10) ORDER BY position, id) AS body FROM covered GROUP BY 1),
+    names AS (SELECT worksheet_id, string_agg(label, '; ' ORDER BY topic) AS labels FROM (SELECT DISTINCT worksheet_id, topic, label FROM p) GROUP BY 1),
+    x AS (SELECT worksheet_id, source, 'Summary' AS artifact_type, 3 AS type_index, CAST(0 AS BIGINT) AS seed_offset, body AS context FROM body
+        UNION ALL SELECT b.worksheet_id, source, 'MindMap', 4, 1, 'Major topics: ' || labels || chr(10) || chr(10) || body FROM body b JOIN names n ON n.worksheet_id = b.worksheet_id)
+    SELECT x.*, EXISTS (SELECT 1 FROM a WHERE a.worksheet_id = x.worksheet_id AND a.artifact_type = x.artifact_type) AS skip FROM x
+""")
 def merged_units(spark: SparkSession, folder: str) -> DataFrame:
     return selection.merged_units(_usable(spark, folder), _once(spark, folder, "artifacts"))
 
@@ -357,11 +433,12 @@ def worksheet_page(spark: SparkSession, folder: str) -> DataFrame:
     return _page(spark, folder)
 
 
-@query(PAGE + """SELECT worksheet_id, concat_ws(' · ', CASE WHEN multiple_choice > 0 THEN multiple_choice || ' MCQ' END, CASE WHEN essay > 0 THEN essay || ' Essay' END, CASE WHEN completion > 0 THEN completion || ' Completion' END) AS label
-    FROM w WHERE contains(lower(name), 'notes')""")
+@query(PAGE + """, l AS (SELECT *, concat_ws(' · ', CASE WHEN multiple_choice > 0 THEN multiple_choice || ' MCQ' END, CASE WHEN essay > 0 THEN essay || ' essay' END, CASE WHEN completion > 0 THEN completion || ' fill' END) AS shown FROM w)
+    SELECT worksheet_id, CASE WHEN shown = '' THEN '—' ELSE shown END AS label, file_count || CASE WHEN file_count = 1 THEN ' file' ELSE ' files' END || CASE WHEN file_extensions = '' THEN '' ELSE ' · ' || file_extensions END AS files
+    FROM l WHERE contains(lower(name), 'notes')""")
 def worksheet_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = catalog.search(_page(spark, folder), " Notes ")
-    return rows.select("worksheet_id", consume.count_label({"MCQ": "multiple_choice", "Essay": "essay", "Completion": "completion"}).alias("label"))
+    return rows.select("worksheet_id", consume.count_label().alias("label"), consume.file_label("file_count", "file_extensions").alias("files"))
 
 
 @query("SELECT count(*) AS total, 20 AS per_page, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM worksheets")
@@ -483,11 +560,61 @@ def essay_validation(spark: SparkSession, folder: str) -> DataFrame:
     return validate.essay_items(_replies(spark, folder))
 
 
-@query()
+VERDICTS = f"""{RECOVERED}, {CHUNKS},
+    y AS (SELECT e.*, CASE WHEN json_type(item, '$.question') = 'VARCHAR' THEN item->>'$.question' END AS question, CASE WHEN json_type(item, '$.sentence') = 'VARCHAR' THEN item->>'$.sentence' END AS sentence,
+        CASE WHEN json_type(item, '$.answer') = 'VARCHAR' THEN item->>'$.answer' END AS answer, CASE WHEN json_type(item, '$.options') = 'ARRAY' THEN from_json(json_extract(item, '$.options'), '["VARCHAR"]') END AS options,
+        CASE WHEN heading IS NOT NULL THEN '[Section: ' || heading || ']' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS context FROM e LEFT JOIN c ON c.id = e.segment_id),
+    reasons AS (SELECT reply_id, unit_type, CASE unit_type
+        WHEN 'EssayQuiz' THEN CASE WHEN question IS NULL THEN 'missing question' WHEN {TRIM.format('question')} = '' THEN 'empty question' END
+        WHEN 'CompletionQuiz' THEN CASE WHEN sentence IS NULL THEN 'missing sentence' WHEN answer IS NULL THEN 'missing answer' WHEN {TRIM.format('sentence')} = '' OR {TRIM.format('answer')} = '' THEN 'empty sentence or answer'
+            WHEN NOT contains(lower(context), lower({TRIM.format('answer')})) THEN 'answer not found in source' END
+        ELSE CASE WHEN question IS NULL OR {TRIM.format('question')} = '' THEN 'missing or empty question' WHEN coalesce(len(options), -1) <> 4 THEN 'expected exactly 4 options'
+            WHEN len(list_filter(options, lambda o: o IS NULL)) > 0 THEN 'non-string option' WHEN len(list_filter({_OPTIONS}, lambda o: o = '')) > 0 THEN 'empty option'
+            WHEN len(list_distinct(list_transform({_OPTIONS}, lambda o: lower(o)))) <> 4 THEN 'duplicate choices' WHEN {_ANSWER} IS NULL THEN 'missing answer' WHEN NOT list_contains({_OPTIONS}, {_ANSWER}) THEN 'answer does not match any option' END
+        END AS reason FROM y WHERE unit_type IN {QUIZ}),
+    counted AS (SELECT reply_id, count(*) FILTER (reason IS NULL) AS good, count(*) FILTER (reason IS NOT NULL) AS bad FROM reasons GROUP BY 1),
+    node AS (SELECT v.reply_id, jt.type AS type, jt.value::JSON AS x FROM v, json_tree(v.j) jt WHERE unit_type = 'MindMap' AND j IS NOT NULL AND regexp_matches(jt.fullkey, '^\\$\\.branches(\\[\\d+\\]\\.children)*\\[\\d+\\]$')),
+    wrong AS (SELECT DISTINCT reply_id FROM node WHERE type <> 'OBJECT' OR coalesce(json_type(x, '$.label') <> 'VARCHAR', true) OR {TRIM.format("(x->>'$.label')")} = '' OR coalesce(json_type(x, '$.children'), 'ARRAY') <> 'ARRAY'),
+    q AS (SELECT v.reply_id, unit_type, t = '' AS blank, lower(coalesce(finish_reason, '')) = 'length' AS cut, coalesce(json_type(j::JSON, '$.items') = 'ARRAY', false) AS listed, unit_type IN ('Summary', 'MindMap') AS merged, j IS NULL AS unread,
+        CASE unit_type WHEN 'Summary' THEN coalesce(json_type(j::JSON, '$.summary') = 'VARCHAR' AND json_type(j::JSON, '$.key_points') = 'ARRAY', false)
+            WHEN 'MindMap' THEN coalesce(json_type(j::JSON, '$.topic') = 'VARCHAR' AND json_type(j::JSON, '$.branches') = 'ARRAY' AND v.reply_id NOT IN (SELECT reply_id FROM wrong), false) END AS whole,
+        coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM v LEFT JOIN counted ON counted.reply_id = v.reply_id),
+    n AS (SELECT reply_id, unit_type, CASE WHEN blank OR cut THEN 0 WHEN merged THEN whole::INTEGER ELSE good END AS accepted, CASE WHEN blank THEN 0 WHEN cut THEN 1 WHEN merged THEN 1 - whole::INTEGER WHEN NOT listed THEN 1 ELSE bad END AS rejected FROM q),
+    verdicts AS (SELECT *, CASE WHEN accepted = 0 AND rejected = 0 THEN 'skipped' WHEN accepted = 0 THEN 'rejected' ELSE 'ok' END AS verdict FROM n)"""
+
+
+@query(f"WITH {VERDICTS} SELECT * FROM verdicts")
 def reply_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return validate.verdicts(_replies(spark, folder), _once(spark, folder, "chunks"))
 
 
+@query(f"""
+    WITH {VERDICTS}, t2 AS (SELECT unit_type, count(*) AS records FROM r GROUP BY 1),
+    j2 AS (SELECT unit_type, count(*) AS replies, count(*) FILTER (verdict = 'ok') AS accepted, count(*) FILTER (verdict = 'rejected') AS rejected, count(*) FILTER (verdict = 'skipped') AS skipped FROM verdicts GROUP BY 1)
+    SELECT t2.unit_type, records, coalesce(replies, 0) AS replies, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, coalesce(skipped, 0) AS skipped,
+        round(accepted / nullif(replies, 0), 9) AS accepted_of_replies, round(coalesce(accepted, 0) / records, 9) AS accepted_of_records FROM t2 LEFT JOIN j2 USING (unit_type)
+""")
+def acceptance_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts by type, and the share accepted of replies and of all response records."""
+    rows = telemetry.acceptance(reply_verdicts(spark, folder), _replies(spark, folder))
+    return rows.withColumn("accepted_of_replies", F.round("accepted_of_replies", 9)).withColumn("accepted_of_records", F.round("accepted_of_records", 9))
+
+
+@query(f"""
+    WITH {VERDICTS}, x AS (SELECT unit_type, reason FROM reasons WHERE reason IS NOT NULL
+        UNION ALL SELECT unit_type, CASE WHEN cut THEN 'truncated' WHEN unread THEN 'no readable JSON' ELSE 'missing item array' END FROM q WHERE NOT blank AND NOT merged AND (cut OR unread OR NOT listed))
+    SELECT unit_type, reason, count(*) AS n FROM x GROUP BY 1, 2
+""")
+def rejection_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.rejection_reasons(_replies(spark, folder), _once(spark, folder, "chunks"))
+
+
+@query(f"WITH {VERDICTS} SELECT unit_type, count(*) AS units, CAST(sum(accepted) AS BIGINT) AS questions, round(avg(accepted), 9) AS per_unit FROM verdicts WHERE verdict = 'ok' GROUP BY 1")
+def accepted_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions per accepted unit, by type."""
+    return telemetry.accepted_questions(reply_verdicts(spark, folder)).withColumn("per_unit", F.round("per_unit", 9))
+
+
 @query(r"""
     WITH a AS (SELECT DISTINCT * FROM artifacts), v AS (SELECT id, CASE WHEN json_valid(content) THEN content::JSON END AS v FROM a WHERE artifact_type = 'Summary' AND json_valid(content))
     SELECT id, coalesce(json_type(v, '$.summary') = 'VARCHAR' AND json_type(v, '$.key_points') = 'ARRAY', false) AS valid,
@@ -500,18 +627,57 @@ def summary_validation(spark: SparkSession, folder: str) -> DataFrame:
     return validate.summaries(strict, "id", "content")
 
 
+# The outermost value of each artifact's content: opened once if it is a JSON string, without what stands around it; and its tree.
+NODES = f"""raw AS (SELECT DISTINCT id AS record_id, content FROM artifacts WHERE content IS NOT NULL),
+    once AS (SELECT record_id, {TRIM.format("replace(content, chr(65279), '')")} AS t FROM raw),
+    opened AS (SELECT record_id, CASE WHEN starts_with(t, '"') THEN CASE WHEN json_valid(t) THEN {TRIM.format("(t::JSON->>'$')")} END ELSE t END AS t FROM once),
+    outer_ AS (SELECT record_id, CASE WHEN json_valid(t) AND json_type(t) IN ('OBJECT', 'ARRAY') THEN t
+        WHEN regexp_matches(t, '^[^{{\\[]*\\[\\s*[A-Za-z.]') THEN regexp_extract(t, '(?s)\\{{.*\\}}') ELSE regexp_extract(t, '(?s)[\\[{{].*[\\]}}]') END AS j FROM opened),
+    value AS (SELECT record_id, j FROM outer_ WHERE json_valid(j) AND NOT regexp_matches(j, ',\\s*[\\]}}]')),
+    tree AS (SELECT record_id, jt.id AS i, jt.parent AS up, jt.key AS key, lower(jt.type) AS type, jt.value::JSON AS x, regexp_replace(jt.fullkey, '\\."([^"]*)"', '.\\1', 'g') AS node FROM value, json_tree(value.j) jt),
+    nodes AS (SELECT *, CASE WHEN node <> '$' THEN CAST(row_number() OVER (PARTITION BY record_id, up ORDER BY i) - 1 AS INTEGER) END AS ordinal,
+        CASE WHEN node <> '$' THEN regexp_replace(regexp_replace(node, '(\\[\\d+\\])+$', ''), '\\.[^.]*$', '') END AS owner FROM tree)"""
+
+
 @query()
 def mind_map_validation(spark: SparkSession, folder: str) -> DataFrame:
     return validate.mind_maps(_once(spark, folder, "artifacts").where(F.col("artifact_type") == "MindMap"), "id", "content")
 
 
-@query()
+@query(f"""
+    WITH {ARTIFACTS}, m AS (SELECT id, {TRIM.format("coalesce(content, '')")} AS t FROM a WHERE artifact_type = 'MindMap'),
+    v AS (SELECT id, CASE WHEN json_valid(t) THEN t WHEN json_valid(nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM m),
+    w AS (SELECT id, CASE WHEN NOT regexp_matches(j, ',\\s*[\\]}}]') THEN j END AS j FROM v),
+    node AS (SELECT w.id AS id, jt.type AS type, jt.value::JSON AS x FROM w, json_tree(w.j) jt WHERE j IS NOT NULL AND regexp_matches(jt.fullkey, '^\\$\\.branches(\\[\\d+\\]\\.children)*\\[\\d+\\]$')),
+    n AS (SELECT id, count(*) AS nodes, count(*) FILTER (type <> 'OBJECT' OR coalesce(json_type(x, '$.label') <> 'VARCHAR', true) OR {TRIM.format("(x->>'$.label')")} = '' OR coalesce(json_type(x, '$.children'), 'ARRAY') <> 'ARRAY') AS bad FROM node GROUP BY 1),
+    k AS (SELECT w.id, coalesce(json_type(j::JSON, '$.topic') = 'VARCHAR' AND json_type(j::JSON, '$.branches') = 'ARRAY' AND coalesce(bad, 0) = 0, false) AS valid, coalesce(nodes, 0) AS nodes FROM w LEFT JOIN n ON n.id = w.id)
+    SELECT id, valid, CASE WHEN valid THEN nodes END AS nodes FROM k
+""")
+def mind_map_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Which mind maps are valid, and how many nodes their normal form has."""
+    maps = mind_map_validation(spark, folder)
+    nodes = F.regexp_count("map", F.lit(r'\{"label": ')).cast("long")
+    return maps.select("id", F.col("map").isNotNull().alias("valid"), nodes.alias("nodes"))
+
+
+@query(f"""
+    WITH {NODES.replace("WHERE content IS NOT NULL", "WHERE content IS NOT NULL AND artifact_type = 'MindMap'")}, l AS (SELECT *, CASE WHEN json_type(x, '$.label') = 'VARCHAR' THEN x->>'$.label' END AS label FROM nodes WHERE type = 'object' AND node <> '$')
+    SELECT record_id, node AS path, owner AS parent_path, CAST(length(node) - length(replace(node, '.', '')) AS INTEGER) AS depth,
+        replace(replace(replace(replace(CASE WHEN {TRIM.format('label')} = '' THEN 'Untitled' ELSE {TRIM.format('label')} END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS label FROM l WHERE label IS NOT NULL
+""")
 def mind_map_tree(spark: SparkSession, folder: str) -> DataFrame:
     maps = _once(spark, folder, "artifacts").where(F.col("artifact_type") == "MindMap")
     return consume.tree(nested.shred(maps, "id", "content"))
 
 
-@query()
+@query(f"""
+    WITH {ARTIFACTS}, b AS (SELECT id, artifact_type, {TRIM.format("coalesce(content, '')")} AS t FROM a WHERE artifact_type IN {QUIZ}),
+    v AS (SELECT *, CASE WHEN json_valid(t) AND NOT regexp_matches(t, ',\\s*[\\]}}]') THEN t WHEN NOT regexp_matches(t, ',\\s*[\\]}}]') AND json_valid(nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM b),
+    f AS (SELECT id, artifact_type, j::JSON AS j FROM v WHERE j IS NOT NULL),
+    g AS (SELECT *, CASE WHEN json_type(j, '$.question') = 'VARCHAR' THEN j->>'$.question' WHEN json_type(j, '$.sentence') = 'VARCHAR' THEN j->>'$.sentence' END AS question FROM f)
+    SELECT id, artifact_type, question, CASE WHEN json_type(j, '$.answer') = 'VARCHAR' THEN j->>'$.answer' WHEN json_type(j, '$.model_answer') = 'VARCHAR' THEN j->>'$.model_answer' END AS answer,
+        CASE WHEN json_type(j, '$.options') = 'ARRAY' THEN from_json(json_extract(j, '$.options'), '["VARCHAR"]') END AS options FROM g WHERE question IS NOT NULL
+""")
 def quiz_questions(spark: SparkSession, folder: str) -> DataFrame:
     return consume.questions(_once(spark, folder, "artifacts"))
 
@@ -541,8 +707,8 @@ def quiz_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT id, CAST(greatest(coalesce(size, 0), 0) AS DOUBLE) AS b FROM (SELECT DISTINCT * FROM files)),
-    p AS (SELECT *, CAST(least(floor(ln(greatest(b, 1.0)) / ln(1024.0) + 1e-12), 4) AS INTEGER) AS p FROM s)
-    SELECT id, CASE WHEN b <= 0 THEN '0 B' ELSE regexp_replace(regexp_replace(printf('%.2f', b / pow(1024.0, p)), '0+$', ''), '\\.$', '') || ' ' || (['B', 'KB', 'MB', 'GB', 'TB'])[p + 1] END AS shown FROM p
+    p AS (SELECT *, CAST(floor(ln(greatest(b, 1.0)) / ln(1024.0) + 1e-12) AS INTEGER) AS p FROM s)
+    SELECT id, CASE WHEN b <= 0 THEN '0B' ELSE regexp_replace(regexp_replace(printf('%.2f', b / pow(1024.0, p)), '0+$', ''), '\\.$', '') || (['Bytes', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB', 'ZB', 'YB'])[p + 1] END AS shown FROM p
 """)
 def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "files").select("id", tx.format_bytes("size").alias("shown"))
@@ -597,6 +763,22 @@ def error_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.errors(_replies(spark, folder))
 
 
+@query(f"""
+    WITH {REPLIES}, v AS (SELECT status, CAST(elapsed_ms AS DOUBLE) AS x FROM r WHERE elapsed_ms >= 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY status) AS n FROM v)
+    SELECT status, count(*) AS n, round(avg(x), 6) AS mean, min(x) AS minimum, max(x) AS maximum, sum(x) AS total,
+        (max(CASE WHEN k = (n - 1) // 2 THEN x END) + max(CASE WHEN k = n // 2 THEN x END)) / 2 AS median, max(CASE WHEN k = floor(0.9 * n) THEN x END) AS p90 FROM o GROUP BY 1
+""")
+def reply_latency(spark: SparkSession, folder: str) -> DataFrame:
+    """Latency of replies and of errors."""
+    return telemetry.latency(_replies(spark, folder)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {REPLIES} SELECT attempt, count(*) AS n FROM r GROUP BY 1")
+def attempt_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.attempts(_replies(spark, folder))
+
+
 @query(f"WITH {REPLIES} SELECT reply_id, CAST(350 * pow(2, least(attempt, 3)) + 200 AS BIGINT) AS pause_ms FROM r")
 def backoff_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return _replies(spark, folder).select("reply_id", telemetry.backoff_ms("attempt").alias("pause_ms"))
@@ -610,9 +792,12 @@ def questions_per_unit(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.questions_per_unit(_items(spark, folder)).withColumn("per_unit", F.round("per_unit", 9))
 
 
-@query(f"WITH {REPLIES} SELECT reply_id, strftime(logged_at, '%Y%m%dT%H%M%S') AS stamp FROM r")
+@query(f"""
+    WITH {REPLIES} SELECT reply_id, strftime(logged_at, '%Y%m%dT%H%M%S.%g') || 'Z' AS stamp,
+        strftime(logged_at, '%Y-%m-%dT%H:%M:%S') || regexp_replace(regexp_replace('.' || strftime(logged_at, '%f'), '0+$', ''), '^\\.$', '') || 'Z' AS readable FROM r
+""")
 def compact_stamps(spark: SparkSession, folder: str) -> DataFrame:
-    return _replies(spark, folder).select("reply_id", F.date_format("logged_at", "yyyyMMdd'T'HHmmss").alias("stamp"))
+    return _replies(spark, folder).select("reply_id", tx.compact_stamp("logged_at").alias("stamp"), tx.readable_stamp("logged_at").alias("readable"))
 
 
 # ---- streaming -------------------------------------------------------------------------------------
@@ -640,17 +825,25 @@ def _artifact_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nested.shred(table(spark, folder, "artifacts"), "id", "content")
 
 
-@query()
+@query(f"WITH {NODES} SELECT record_id AS artifact_id, owner AS parent_path, node AS child_path FROM nodes WHERE type = 'object' AND node <> '$'")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.object_links(_artifact_nodes(spark, folder)).withColumnRenamed("record_id", "artifact_id")
 
 
-@query()
+@query(f"""
+    WITH {NODES} SELECT record_id, node, CASE WHEN node = '$' THEN NULL WHEN ends_with(node, ']') THEN regexp_replace(node, '\\[\\d+\\]$', '') ELSE regexp_replace(node, '\\.[^.]*$', '') END AS parent, owner,
+        nullif(regexp_extract(regexp_replace(node, '(\\[\\d+\\])+$', ''), '\\.([^.]*)$', 1), '') AS label,
+        ordinal, CASE WHEN type IN ('object', 'array', 'boolean', 'null') THEN type WHEN type = 'varchar' THEN 'string' ELSE 'number' END AS kind,
+        CASE WHEN type NOT IN ('object', 'array', 'null') THEN x->>'$' END AS scalar FROM nodes
+""")
 def p2_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _artifact_nodes(spark, folder)
 
 
-@query()
+@query(f"""
+    WITH {NODES}, o AS (SELECT record_id, regexp_replace(node, '\\[\\d+\\]', '', 'g') AS entity FROM nodes WHERE type = 'object')
+    SELECT entity, count(*) AS objects, count(DISTINCT record_id) AS records FROM o GROUP BY 1
+""")
 def p2_entity_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return nested.entity_catalog(_artifact_nodes(spark, folder))
 
@@ -667,11 +860,20 @@ def p2_mindmap_tree(spark: SparkSession, folder: str) -> DataFrame:
     return nested.tree_table(nested.shred(table(spark, folder, "artifacts"), "id", "content", places=True))
 
 
-@query()
+_FIELD = "CASE WHEN json_type(x, '$.{0}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN x->>'$.{0}' END AS field_{0}"
+
+
+@query(f"""
+    WITH {NODES} SELECT record_id, node AS path, owner AS parent_path, ordinal AS position, {_FIELD.format('score')}, {_FIELD.format('descriptor')}
+    FROM nodes WHERE type = 'object' AND regexp_replace(node, '\\[\\d+\\]', '', 'g') = '$.rubric.levels'
+""")
 def p2_rubric_levels(spark: SparkSession, folder: str) -> DataFrame:
     return nested.entity_table(_artifact_nodes(spark, folder), "$.rubric.levels", ["score", "descriptor"])
 
 
-@query()
+@query(f"""
+    WITH {NODES} SELECT record_id, node AS path, owner AS parent_path, ordinal AS position, {_FIELD.format('label')}, {_FIELD.format('weight')}
+    FROM nodes WHERE type = 'object' AND regexp_matches(node, '\\.children(\\[\\d+\\])*$')
+""")
 def p2_mindmap_children(spark: SparkSession, folder: str) -> DataFrame:
     return nested.entity_table(_artifact_nodes(spark, folder), "children", ["label", "weight"], recursive=True)

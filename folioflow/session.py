@@ -32,7 +32,8 @@ def get_spark(app: str = "folioflow", master: str = "local[8]", **conf: str) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a temporary folder is made.
+    Only where a session on one machine (``local``) names none, as in tests, a temporary folder is made; on a cluster that is an error,
+    since a folder of one machine is lost with it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-ckpt-"))
     return sc.getCheckpointDir()
 

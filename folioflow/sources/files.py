@@ -33,16 +33,25 @@ def require_supported(files: DataFrame) -> DataFrame:
     return files.withColumn("parser", checked.cast("string"))
 
 
+class NoParser(ValueError):
+    """A file needs a parser and none is given."""
+
+
 def read_blocks(spark: SparkSession, files: DataFrame, parser: Parser | None = None) -> DataFrame:
-    """Blocks (id, ordinal, kind, level, text) of files (id, path, parser).
+    """Blocks (id, ordinal, kind, level, text) of files (id, path, extension, parser).
 
     Text and markdown are read whole and parsed by column expressions. Documents and office files need a
-    ``parser``, which is called on the executors file by file; without one they are left out.
+    ``parser``, which is called on the executors file by file; without one, ``NoParser`` is raised where there is such a file, so that
+    none is left out unseen. Folders are read, not lists of files: what reaches the driver are the distinct folders.
     """
-    paths = [r.path for r in files.select("path").toLocalIterator()]
-    if not paths:
+    if parser is None:
+        needs = files.where("parser in ('document', 'office')").select("extension").first()
+        if needs:
+            raise NoParser(f"no parser for files of extension {needs.extension}")
+    folders = [r.folder for r in files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).dropDuplicates().toLocalIterator()]
+    if not folders:
         return spark.createDataFrame([], BLOCK_ROWS)
-    content = spark.read.format("binaryFile").load(paths).select("path", "content").join(files.select("id", "path", "parser", "extension"), "path")
+    content = spark.read.format("binaryFile").load(folders).select("path", "content").join(files.select("id", "path", "parser", "extension"), "path")
     texts = content.select("id", "parser", F.decode("content", "UTF-8").alias("text"))
     out = blocks.markdown_blocks(texts.where("parser = 'markdown'"), "id", "text").unionByName(blocks.plain_blocks(texts.where("parser = 'text'"), "id", "text"))
     if parser is None:

@@ -13,31 +13,42 @@ SCHEMAS = {
 
 
 class Store:
-    """A version counts once its write has succeeded; readers take the last that counts."""
+    """Rows are appended as files to a table's present version; a change of rows writes the next version beside it.
+
+    A version counts once its first write has succeeded; readers take the last that counts. A version is only written where none is,
+    so that of two writers that change a table at once the second fails instead of overwriting the first.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str) -> tuple[list[int], int]:
+        """The versions that count, and the last number that is taken, also by a failed write."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in done)
+            return [], 0
+        found = {int(s.getPath().getName().removeprefix("v")): s.getPath() for s in fs.listStatus(path)}
+        return sorted(n for n, p in found.items() if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), max(found, default=0)
+
+    def _names(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], SCHEMAS[name]).columns
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        done, _ = self._versions(name)
+        if not done:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/v{done[-1]}")
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a table; ``rows`` may be made from its present version."""
-        versions = self._versions(name)
-        rows.select(*self.read(name).columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{(versions[-1] if versions else 0) + 1}")
+        _, taken = self._versions(name)
+        rows.select(*self._names(name)).write.mode("errorifexists").parquet(f"{self.folder}/{name}/v{taken + 1}")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows.select(*self.read(name).columns)))
+        """Add rows; what is there is not written again. ``rows`` must not be made from the table itself."""
+        done, taken = self._versions(name)
+        if not done:
+            return self.write(name, rows)
+        rows.select(*self._names(name)).write.mode("append").parquet(f"{self.folder}/{name}/v{done[-1]}")

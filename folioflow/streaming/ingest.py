@@ -27,21 +27,29 @@ def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int =
     return reader.parquet(path)
 
 
+#: Parts of a target by hash of the key.
+PARTS = 16
+
+
 def ingest(stream: DataFrame, target: str, state: str, key: str) -> None:
     """Append what the stream has now to ``target`` (parquet), each key once over all runs, and stop.
 
-    A batch drops keys that earlier batches stored. A batch that is run again after a failure overwrites its own folder,
-    so that nothing is stored twice. ``state`` keeps the stream's offsets, from which the next run goes on.
+    The target is kept in parts by a hash of the key, and a batch drops keys that are stored: it is compared with the keys of the parts
+    that it touches only, and a batch that is run again after a failure with those of other batches, then overwrites its own folders, so
+    that nothing is stored twice. ``state`` keeps the stream's offsets, from which the next run goes on.
     """
     spark = stream.sparkSession
     schema = stream.schema
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
 
     def store(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates([key])
+        once = batch.dropDuplicates([key]).withColumn("part", part)
         if number:
-            earlier = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{target}/batch={n}" for n in range(number)])
-            once = once.join(earlier.select(key), key, "left_anti").select(*schema.names)
-        once.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            touched = [r.part for r in once.select("part").distinct().collect()]  # at most PARTS
+            earlier = spark.read.schema(f"`{key}` {schema[key].dataType.simpleString()}, part int, batch long").parquet(target)
+            earlier = earlier.where(F.col("part").isin(*touched) & (F.col("batch") < number)).select(key, "part")
+            once = once.join(earlier, [key, "part"], "left_anti")
+        once.withColumn("batch", F.lit(number).cast("long")).select(*schema.names, "part", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(target)
 
     stream.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 

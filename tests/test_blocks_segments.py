@@ -38,6 +38,32 @@ def test_sentences():
     assert s("One. Two!\nThree goes\non here. tail") == ["One.", "Two!", "Three goes on here.", "tail"]
     assert s("Pi is 3.14 now. Wait... no. Dr. Who e.g. this one. (Yes.) End?") == ["Pi is 3.14 now.", "Wait... no. Dr. Who e.g. this one.", "(Yes.) End?"]
     assert s("") == [] and s("\n  \n") == []
+    # only a line feed ends a line, and the other marks of lines are text
+    assert s("a\x0bb. c\x1cd\re. f\u2028g\r\nh") == ["a\x0bb.", "c\x1cd\re.", "f\u2028g h"]
+
+
+def test_windows_are_measured_in_bytes():
+    for text in ("я" * 9000, "a€" * 5000, "x" * 7200, "", "😀" * 4000):
+        made = segments.byte_windows(text, 7200)
+        assert "".join(made) == text and all(0 < len(p.encode()) <= 7200 for p in made) and all(len(p.encode()) > 7196 for p in made[:-1])
+
+
+def test_pages_fall_back_from_layout_to_markdown_to_text(spark):
+    block = "struct<kind:string,text:string,level:int,lines:array<string>,rows:array<array<string>>>"
+    figure, head = ("figure", "x", None, None, None), ("heading", "H", 2, None, None)
+    rows = [(1, [figure, head], "# M", "raw"), (2, [figure], "# M\nbody", "raw"), (3, None, " ", "raw"), (4, [], None, " "), (5, None, None, None)]
+    df = spark.createDataFrame(rows, f"id int, layout array<{block}>, markdown string, text string")
+    got = sorted((r.id, r.ordinal, r.kind, r.level, r.text) for r in blocks.page_blocks(df).collect())
+    assert got == [(1, 0, "heading", 2, "H"), (2, 0, "heading", 1, "M"), (2, 1, "body", None, "body\n"), (3, 0, "body", None, "raw")]
+    files = spark.createDataFrame([("f",), ("g",)], "id string")
+    pages = spark.createDataFrame([("f", ["Sparse"])], "file_id string, reasons array<string>")
+    assert {tuple(r) for r in blocks.recognition_of_files(files, pages).collect()} == {("f", False), ("g", True)}
+
+
+def test_a_text_of_many_lines_is_no_quadratic_work(spark):
+    text = "\n".join(f"# h{i}\nline {i}" if i % 50 == 0 else f"line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    assert blocks.markdown_blocks(df, "id", "text").count() == 4000
 
 
 def brute_segments(items):
@@ -68,8 +94,12 @@ def brute_segments(items):
         if n <= segments.MAXIMUM:
             cut.append([h, t, n])
         else:
-            w = 4 * segments.MAXIMUM
-            cut += [[h, t[i : i + w], len(t[i : i + w].encode()) // 4] for i in range(0, len(t), w)]
+            piece = ""
+            for c in t + "\0":
+                if c == "\0" or len((piece + c).encode()) > 4 * segments.MAXIMUM:
+                    cut.append([h, piece, len(piece.encode()) // 4])
+                    piece = ""
+                piece += c
     out = []
     for h, t, n in cut:
         if out and out[-1][2] + n <= segments.MAXIMUM and (out[-1][2] < segments.MINIMUM or n < segments.MINIMUM):
@@ -90,7 +120,7 @@ def test_segments_against_brute_force(spark):
             else:
                 sentence = "x" * rng.choice([3, 60, 900]) + rng.choice([".", "", "é!"])
                 items.append(("body", " ".join([sentence] * rng.choice([0, 1, 3, 40]))))
-        items.append(("body", "y" * rng.choice([0, 5, 20_000])))
+        items.append(("body", rng.choice(["y", "я", "a€"]) * rng.choice([0, 5, 9_000])))
         files[i] = items
         rows += [(i, n, kind, text) for n, (kind, text) in enumerate(items)]
     df = spark.createDataFrame(rows, "id int, ordinal int, kind string, text string")

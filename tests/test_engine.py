@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.plans.engine import Engine
+from folioflow.plans.engine import Engine, Stopped
+from folioflow.session import checkpoint_dir
+from folioflow.sources.files import NoParser
+from folioflow.sources.store import SCHEMAS, Store
 from folioflow.streaming import ingest
 
 
@@ -44,6 +47,78 @@ def test_pipeline_end_to_end(spark, tmp_path):
         engine.delete(w)
 
 
+def test_jobs_are_stopped_resumed_and_fail_loudly(spark, tmp_path):
+    prose = "The quick brown fox jumps over the lazy dog while seventeen small birds watch from above. " * 30
+    (tmp_path / "a.txt").write_text(prose)
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    engine = Engine(spark, str(tmp_path / "store"))
+    w = engine.create_worksheet("x", [str(tmp_path / "a.txt")])
+    before = engine.worksheet(w).first().updated_at
+    engine.ingest(w)
+    assert engine.worksheet(w).first().updated_at > before
+    assert engine.stop(w) and engine.status(w).first().state == "cancelled" and not engine.stop(w)
+    assert engine.resume(w) == "cancelled" and engine.store.read("artifacts").count() == 0
+
+    slow, checks = Engine(spark, str(tmp_path / "store")), []
+
+    def check(i):
+        """The worksheet is stopped before its second wave."""
+        checks.append(i)
+        if len(checks) > 1:
+            slow.stop(i)
+        Engine._check(slow, i)
+
+    slow._check = check
+    slow._set(w, ["cancelled"], "idle")
+    with pytest.raises(Stopped):
+        slow.generate(w, wave=2)
+    kept = slow.store.read("artifacts").count()
+    assert kept > 0 and slow.status(w).first().state == "cancelled"
+    engine._set(w, ["cancelled"], "running")  # as a process that ended left it
+    assert engine.resume_stale() == [w] and engine.status(w).first().state == "done"
+    done = {r.artifact_type: r for r in engine.progress(w).collect()}
+    assert engine.store.read("artifacts").count() > kept and all(r.complete and not r.generating for r in done.values())
+    scanned = engine.create_worksheet("pdf", [str(tmp_path / "scan.pdf")])
+    with pytest.raises(NoParser):
+        engine.run(scanned)
+    row = engine.status(scanned).first()
+    assert row.state == "failed" and "pdf" in row.error
+    empty = engine.create_worksheet("none", [])
+    with pytest.raises(ValueError):
+        engine.run(empty)
+    engine._set(w, ["done"], "running")
+    with pytest.raises(RuntimeError):
+        engine.regenerate(w, ["Summary"])
+    engine._live.add(w)
+    assert not engine.run(w)
+
+
+def test_store_appends_files_and_never_overwrites(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    row = spark.createDataFrame([("a", "w", "w", 0, None, "t", None)], SCHEMAS["chunks"])
+    store.append("chunks", row)
+    first = {p.name for p in (tmp_path / "chunks" / "v1").glob("*.parquet")}
+    store.append("chunks", row)
+    assert store.read("chunks").count() == 2 and first < {p.name for p in (tmp_path / "chunks" / "v1").glob("*.parquet")}
+    (tmp_path / "chunks" / "v2").mkdir()  # a write that failed
+    assert store.read("chunks").count() == 2
+    store.write("chunks", store.read("chunks").limit(1))
+    assert (tmp_path / "chunks" / "v3" / "_SUCCESS").exists() and store.read("chunks").count() == 1
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     schema = "id string, v int"
     source, target, state = (str(tmp_path / n) for n in ("t.parquet", "out", "state"))

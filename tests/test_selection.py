@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from folioflow.operators import selection as se
 
 SCHEMA = "worksheet_id string, id string, position int, heading string, text string"
@@ -74,3 +76,11 @@ def test_scores_by_hand(spark):
     df = make(spark, [("w", "a", 0, None, "alpha alpha"), ("w", "b", 1, None, "beta")])
     assert {r.id: round(r.score, 9) for r in se.member_scores(df).collect()} == {"a": round(2 * math.log(2), 9), "b": round(math.log(2), 9)}
     assert se.merged_units(df.limit(0), spark.createDataFrame([], "worksheet_id string, artifact_type string, source string")).count() == 0
+
+
+def test_emptiness_is_told_apart(spark):
+    none, poor = make(spark, []), make(spark, [("w", "short", 1, None, "1 2 3")])
+    with pytest.raises(se.NoSegments):
+        se.require_usable(none)
+    with pytest.raises(se.NoUsableSegments):
+        se.require_usable(poor)

@@ -20,7 +20,9 @@ def test_tokens_terms_and_words(spark):
 
 
 def test_formats(spark):
-    assert one(spark, tx.format_bytes("n"), "n long", 0, None, 1, 1024, 1536, 1048576, 1234567) == ["0 B", "0 B", "1 B", "1 KB", "1.5 KB", "1 MB", "1.18 MB"]
+    assert one(spark, tx.format_bytes("n"), "n long", 0, None, 1, 1024, 1536, 1048576, 1234567, 2**60 * 3) == ["0B", "0B", "1Bytes", "1KB", "1.5KB", "1MB", "1.18MB", "3EB"]
+    assert one(spark, tx.compact_stamp(F.col("s").cast("timestamp")), "s string", "2026-08-30 14:32:05.1239", None) == ["20260830T143205.123Z", None]
+    assert one(spark, tx.readable_stamp(F.col("s").cast("timestamp")), "s string", "2026-08-30 14:32:05.120", "2026-08-30 14:32:05", None) == ["2026-08-30T14:32:05.12Z", "2026-08-30T14:32:05Z", None]
     assert one(spark, tx.format_clock(F.col("n")), "n long", 0, 61, 3599, 400_000, -5, None) == ["000000", "000101", "005959", "990640", "000000", "000000"]
     assert one(spark, tx.label("s"), "s string", "a b/c", "", None) == ["a_b_c", "unnamed", "unnamed"]
     assert one(spark, tx.escape_html("s"), "s string", '<a href="x">&', None) == ["&lt;a href=&quot;x&quot;&gt;&amp;", None]
