@@ -62,16 +62,16 @@ def test_jobs_are_stopped_resumed_and_fail_loudly(spark, tmp_path):
     slow, checks = Engine(spark, str(tmp_path / "store")), []
 
     def check(i):
-        """The worksheet is stopped before its second wave."""
+        """The worksheet is stopped before its fourth wave."""
         checks.append(i)
-        if len(checks) > 1:
+        if len(checks) > 3:
             slow.stop(i)
         Engine._check(slow, i)
 
     slow._check = check
     slow._set(w, ["cancelled"], "idle")
     with pytest.raises(Stopped):
-        slow.generate(w, wave=2)
+        slow.generate(w, wave=1)
     kept = slow.store.read("artifacts").count()
     assert kept > 0 and slow.status(w).first().state == "cancelled"
     engine._set(w, ["cancelled"], "running")  # as a process that ended left it
