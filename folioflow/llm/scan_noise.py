@@ -17,8 +17,10 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.session import cut, spread
@@ -353,12 +355,14 @@ def furniture(text: str) -> list[tuple[int, str, str, bool]]:
     lengths = sorted(len(s) for s in bare if s)
     typical = lengths[int(len(lengths) * 0.6)] if lengths else 0
     out: list[tuple[int, str, str, bool]] = []
-    taken = set()
+    follows: list[str | None] = [None] * len(bare)  # the next line that is not blank
+    for i in range(len(bare) - 2, -1, -1):
+        follows[i] = bare[i + 1] or follows[i + 1]
+    before, last = None, None  # the last line before that is neither blank nor surely furniture
     for i, s in enumerate(bare):
         if not s:
             continue
-        before = next((bare[k] for k in range(i - 1, -1, -1) if bare[k] and k not in taken), None)
-        after = next((b for b in bare[i + 1 :] if b), None)
+        before, last, after = last or before, s, follows[i]
         ends = s[0] + s[-1]
         numbered = any(c.isdigit() for c in ends) or ends[1] in ")]-–—"
         if (numbered or len(s) <= 8) and _PAGE_ONLY.match(s):
@@ -367,31 +371,33 @@ def furniture(text: str) -> list[tuple[int, str, str, bool]]:
             if re.fullmatch(_ROMAN, s, re.I) and not (s.islower() and (before is None or not before.endswith(":"))):
                 continue
             out.append((i, "number", "", True))
-            taken.add(i)
+            last = None
             continue
         if "\t" in s or s.endswith((".", ",", ";", ":", "!", "?")):
             continue
         m = _WITH_PAGE.match(s) if numbered or s[0] in "[(-–—PpSs" else None
         if m and re.search(r"[^\W\d_]{2,}", m["t"] or m["t2"]) and not re.search(r"\.{3,}", s):
             out.append((i, "both", _fold(m["t"] or m["t2"]), True))
-            taken.add(i)
+            last = None
             continue
-        upper, lower = sum(map(str.isupper, s)), sum(map(str.islower, s))
+        lower = sum(map(str.islower, s))
+        upper = sum(map(str.isupper, s)) if lower <= 0.1 * len(s) else 0  # fewer capitals than nine in ten letters do not matter
         capitals = upper + lower >= 4 and upper >= 0.9 * (upper + lower)
         sides = [p for p in re.split(r"\s[·•|]\s", s) if re.search(r"[^\W\d_]{2,}", p)] if "·" in s or "•" in s or "|" in s else []
-        opens = s[0].isupper() or s[0].isdigit() or not s[0].isalnum()
-        breaks = bool(before) and not _TERMINATED.search(before) and bool(after) and (after[0].islower() or before[-1] in HYPHENS)
-        full = after is not None and len(s) + 1 + len(after.split()[0]) > typical - 3
-        short = len(s) <= 0.7 * typical or all(w[:1].isupper() for w in s.split() if len(w) > 3)
-        interrupts = opens and breaks and short and not full and not re.search(r"[.!?]\s", s)
+        full = after is not None and len(s) + 1 + len(after.split(None, 1)[0]) > typical - 3
+        ended = before is None or bool(_TERMINATED.search(before))
+        interrupts = (
+            not ended and after is not None and not full and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()) and (after[0].islower() or before[-1] in HYPHENS)
+            and (len(s) <= 0.7 * typical or all(w[:1].isupper() for w in s.split() if len(w) > 3)) and not re.search(r"[.!?]\s", s)
+        )
         certain = interrupts or capitals or len(sides) >= 2
-        if certain or (len(s.split()) <= 9 and (before is None or after is None or _TERMINATED.search(before) or not full)):
+        if certain or ((ended or after is None or not full) and len(s.split()) <= 9):
             key = _fold(s)
             if len(key) < 3:
                 continue
             out.append((i, "hard" if capitals or len(sides) >= 2 else "head", key, certain))
             if certain:
-                taken.add(i)
+                last = None
     return out
 
 
@@ -402,7 +408,7 @@ _ROWS = pa.schema([
 ROWS = "row string, chunk_id string, field string, fact string, a string, b string, certain boolean, words array<string>, n long, joins long"
 _FACTS = pa.schema([(f, _ROWS.field(f).type) for f in ("chunk_id", "field", "fact", "a", "b", "certain")])
 FACTS = "chunk_id string, field string, fact string, a string, b string, certain boolean"
-_INNER_HYPHEN = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+_INNER_HYPHEN = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,17 +440,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         put("fact", chunk, field, "head", key, "soft" if kind == "head" else "hard", certain)
                 body, furnished = parts(value, lines_found)
                 rest, pairs = joined(body)
-                words = words_of(rest) + (words_of(furnished) if furnished else [])
+                low = rest.lower()
+                words = _WORD.findall(low)
+                if furnished:
+                    words += _WORD.findall(furnished.lower())
                 whole.update(words)
-                if "-" in rest:
-                    whole.update(_INNER_HYPHEN.findall(rest.lower()))
+                if "-" in low:
+                    whole.update(_INNER_HYPHEN.findall(low))
                 joins = [p[2] for p in pairs]
                 closed.update(joins)
                 for left, right, _ in set(pairs):
                     put("fact", chunk, field, "hyphen", left, right)
-                put("words", chunk, field, words=list({*words, *joins}))
+                put("words", chunk, field, words=[w for w in {*words, *joins} if not w.isdigit()])
         for word in {*whole, *closed}:
-            put("count", a=word, n=whole[word], joins=closed[word])
+            if not word.isdigit():
+                put("count", a=word, n=whole[word], joins=closed[word])
         yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
 
 
@@ -454,22 +464,19 @@ def _bit(word: str) -> int:
 
 def _pick(bits_ref):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each chunk that the filter lets through."""
-        bits, passes = bits_ref.value, {}
+        """The words of each chunk that the filter lets through; each distinct word of a batch is looked up once."""
+        bits = bits_ref.value
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in _FACTS}
-            for chunk, field, words in zip(*(c.to_pylist() for c in batch.columns)):
-                for word in words:
-                    hit = passes.get(word)
-                    if hit is None:
-                        if len(passes) > 500_000:
-                            passes.clear()
-                        at = _bit(word)
-                        hit = passes[word] = bits[at >> 3] >> (at & 7) & 1
-                    if hit:
-                        for name, x in zip(out, (chunk, field, "word", word, None, None)):
-                            out[name].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=_FACTS)
+            lists = batch.column("words")
+            coded = lists.flatten().dictionary_encode()
+            passes = np.array([bits[at >> 3] >> (at & 7) & 1 for at in map(_bit, coded.dictionary.to_pylist())], dtype=bool)
+            kept = np.flatnonzero(passes[coded.indices.to_numpy(zero_copy_only=False)]) if len(coded) else np.array([], dtype=np.int64)
+            of = pc.list_parent_indices(lists).take(pa.array(kept))
+            n = len(kept)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("chunk_id").take(of), batch.column("field").take(of), pa.array(["word"] * n, pa.string()),
+                coded.dictionary.take(coded.indices.take(pa.array(kept))).cast(pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()),
+            ], schema=_FACTS)
 
     return pick
 
