@@ -35,6 +35,11 @@ def meaningful_words(c: Column | str) -> Column:
     return F.regexp_count(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), F.lit(r"[^\s\p{Z}]*?\p{L}[^\s\p{Z}]*"))
 
 
+def has_words(c: Column | str, n: int) -> Column:
+    """Whether ``meaningful_words`` is at least ``n``, without reading on after the n-th; possessive, so that no word counts twice."""
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).rlike(rf"\A(?:[^\p{{L}}]*+\p{{L}}[^\s\p{{Z}}]*+){{{n}}}")
+
+
 def section_context(heading: Column | str, text: Column | str) -> Column:
     """``[Section: heading]`` and a line break before the text where there is a heading."""
     h = F.col(heading) if isinstance(heading, str) else heading

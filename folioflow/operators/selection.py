@@ -30,8 +30,8 @@ def _any_of(c: Column, markers: tuple[str, ...]) -> Column:
 
 
 def is_degenerate() -> Column:
-    """Fewer than ten words with a letter; null and blank texts too."""
-    return tx.meaningful_words("text") < MIN_WORDS
+    """Fewer than ten words with a letter; null and blank texts too. A text is read up to its tenth word."""
+    return ~tx.has_words("text", MIN_WORDS)
 
 
 def is_front_matter() -> Column:

@@ -65,11 +65,12 @@ def ingest_available(spark: SparkSession, folder: str, name: str, key: str) -> D
 def hourly_counts(spark: SparkSession, folder: str, name: str, key: str, time: str, late: str = "400 days") -> DataFrame:
     """hour, reads: distinct keys per hour, redelivered rows dropped within the watermark.
 
-    The watermark is wide since the logs of a whole year arrive as one backlog; null times are left out.
+    A key's state is kept for ``late`` after its time, and so bounded by what arrives in that span. It is wide here since the logs of a whole year
+    come as one backlog in no order; where rows come within a day of their time, "1 day" holds a day's keys. Null times are left out.
     """
     where = work_folder(spark)
     stream = source(spark, folder, name).where(F.col(time).isNotNull()).select(key, F.col(time).cast("timestamp").alias("__t"))
-    once = stream.withWatermark("__t", late).dropDuplicates([key, "__t"])
+    once = stream.withWatermark("__t", late).dropDuplicatesWithinWatermark([key, "__t"])
 
     def store(batch: DataFrame, number: int) -> None:
         batch.groupBy(F.date_trunc("hour", "__t").alias("hour")).agg(F.count("*").alias("reads")).write.mode("overwrite").parquet(f"{where}/data/batch={number}")

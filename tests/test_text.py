@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranks, text as tx
@@ -19,6 +21,14 @@ def test_tokens_terms_and_words(spark):
     assert one(spark, tx.meaningful_words("s"), "s string", "a 1 b2 --", "  ", None) == [2, 0, 0]
 
 
+def test_has_words_agrees_with_the_count(spark):
+    rng = random.Random(5)
+    texts = [None, ""] + ["".join(rng.choice("aé1- \n\u00a0") for _ in range(rng.randrange(60))) for _ in range(400)] + ["1 " * 200_000, "a1" * 100_000, "w " * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for n in (1, 3, 10):
+        assert df.where(tx.has_words("s", n) != (tx.meaningful_words("s") >= n)).count() == 0
+
+
 def test_formats(spark):
     assert one(spark, tx.format_bytes("n"), "n long", 0, None, 1, 1024, 1536, 1048576, 1234567, 2**60 * 3) == ["0B", "0B", "1Bytes", "1KB", "1.5KB", "1MB", "1.18MB", "3EB"]
     assert one(spark, tx.compact_stamp(F.col("s").cast("timestamp")), "s string", "2026-08-30 14:32:05.1239", None) == ["20260830T143205.123Z", None]
