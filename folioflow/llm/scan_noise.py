@@ -408,6 +408,7 @@ _ROWS = pa.schema([
 ROWS = "row string, chunk_id string, field string, fact string, a string, b string, certain boolean, words array<string>, n long, joins long"
 _FACTS = pa.schema([(f, _ROWS.field(f).type) for f in ("chunk_id", "field", "fact", "a", "b", "certain")])
 FACTS = "chunk_id string, field string, fact string, a string, b string, certain boolean"
+_LISTED = re.compile(r"(?:[-*•]|\d+[.)]|[a-z][.)])\s")
 _INNER_HYPHEN = re.compile(r"(?<![^\W\d_])[^\W\d_]+-[^\W\d_]+")
 
 
@@ -634,23 +635,25 @@ def repair_text(text: str, fixes: dict[str, str], by_context: dict[tuple[str, st
     kept = [s for i, s in enumerate(lines) if i not in drop]
     body = "\n".join(kept)
 
-    body = close(body, breaks)
-    body = re.sub(rf"([^\W\d_]-)[ \t]*\n[ \t]*(?=[^\W\d_])", r"\1", body) if "-\n" in body else body
-    previous = [""]
-
-    def right(m: re.Match) -> str:
-        w = m[0].lower()
-        found = by_context.get((previous[0], w)) or fixes.get(w)
-        previous[0] = found or w
-        return _same_case(m[0], found) if found else m[0]
-
-    body = _WORD.sub(right, body)
+    body = close(body, breaks) if breaks else body
+    body = re.sub(r"([^\W\d_]-)[ \t]*\n[ \t]*(?=[^\W\d_])", r"\1", body) if "-" in body and "\n" in body else body
+    if fixes or by_context:
+        previous = ""
+        out, at = [], 0
+        for m in _WORD.finditer(body):
+            w = m[0].lower()
+            found = fixes.get(w) and (by_context.get((previous, w)) or fixes[w])
+            if found:
+                out += (body[at : m.start()], _same_case(m[0], found))
+                at = m.end()
+            previous = found or w
+        body = "".join([*out, body[at:]])
     paragraphs, current = [], []
     width = sorted(len(s) for s in kept if s.strip())
     typical = width[int(len(width) * 0.6)] if width else 0
     for line in body.split("\n"):
         s = line.strip()
-        if not s or "\t" in line or re.match(r"(?:[-*•]|\d+[.)]|[a-z][.)])\s", s):
+        if not s or "\t" in line or _LISTED.match(s):
             if current:
                 paragraphs.append(" ".join(current))
                 current = []
