@@ -210,11 +210,10 @@ def extension_of(column: str = "extension") -> F.Column:
     return F.when(bare == "", F.lit("unknown")).otherwise(bare)
 
 
-def daily_sketches(ingestion: DataFrame, tokenization: DataFrame, k: int = K) -> DataFrame:
-    """Sketches by metric, group and day: duration_ms per extension, tokens_per_sec over all files.
+def logged_values(ingestion: DataFrame, tokenization: DataFrame) -> DataFrame:
+    """metric, group_name, day, value: duration_ms per extension, tokens_per_sec over all files, each read once.
 
-    Negative durations and rates are impossible and left out, as are null and non-finite ones; the day is
-    that of logged_at, null where it is null.
+    Negative durations and rates are impossible and left out; the day is that of logged_at, null where it is null.
     """
     reads = _delivered_once(ingestion, ["extension", "duration_ms", "logged_at"]).where("duration_ms >= 0").select(
         F.lit("duration_ms").alias("metric"), extension_of().alias("group_name"), F.to_date("logged_at").cast("string").alias("day"), F.col("duration_ms").cast("double").alias("value")
@@ -222,4 +221,26 @@ def daily_sketches(ingestion: DataFrame, tokenization: DataFrame, k: int = K) ->
     rates = _delivered_once(tokenization, ["tokens_per_sec", "logged_at"]).where("tokens_per_sec >= 0").select(
         F.lit("tokens_per_sec").alias("metric"), F.lit("all").alias("group_name"), F.to_date("logged_at").cast("string").alias("day"), F.col("tokens_per_sec").cast("double").alias("value")
     )
-    return sketches(reads.unionByName(rates), ["metric", "group_name", "day"], "value", k)
+    return reads.unionByName(rates)
+
+
+def daily_sketches(ingestion: DataFrame, tokenization: DataFrame, k: int = K) -> DataFrame:
+    """Sketches by metric, group and day of ``logged_values``; null and non-finite values are left out."""
+    return sketches(logged_values(ingestion, tokenization), ["metric", "group_name", "day"], "value", k)
+
+
+def rank_errors(estimates: DataFrame, values: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """``keys``, n, worst_error, bound, within: the greatest true rank error of a group's percentiles, counted over all values, against its bound.
+
+    ``estimates`` is that of ``percentiles``. All values of a group are counted in one grouping with partial sums; values equal to an
+    estimate take all ranks between those below and those up to it.
+    """
+    names = ["p" + f"{p * 100:g}".replace(".", "_") for p in at]
+    v = F.col(value).cast("double")
+    rows = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))).select(*keys, v.alias("__v")).join(estimates.drop("n", "low", "high"), keys)
+    counts = [c for name in names for c in (F.count_if(F.col("__v") < F.col(name)).alias(f"below_{name}"), F.count_if(F.col("__v") <= F.col(name)).alias(f"upto_{name}"))]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("rank_error").alias("bound"), *counts)
+    errors = [F.greatest(F.lit(0.0), F.lit(p) - F.col(f"upto_{name}") / F.col("n"), F.col(f"below_{name}") / F.col("n") - F.lit(p)) for p, name in zip(at, names)]
+    worst = F.greatest(*errors) if len(errors) > 1 else errors[0]
+    # A rank is whole: of few values no estimate can be nearer than one of them.
+    return counted.withColumn("worst_error", worst).select(*keys, "n", "worst_error", "bound", (F.col("worst_error") <= F.col("bound") + 1 / F.col("n")).alias("within"))

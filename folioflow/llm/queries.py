@@ -67,6 +67,16 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("metric", "group_name", "n", "low", "high")
 
 
+def p5_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The true rank errors of ``p5_percentiles`` against the bounds that it reports."""
+    values = quantiles.logged_values(table(spark, folder, "metrics_ingestion"), table(spark, folder, "metrics_tokenization"))
+    return quantiles.rank_errors(p5_percentiles(spark, folder), values, ["metric", "group_name"], "value", PERCENTILES)
+
+
+def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_errors(spark, folder).select("metric", "group_name", "n", "within")
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))
 
@@ -146,6 +156,8 @@ QUERIES: dict[str, Query] = {
     "p5_percentiles": p5_percentiles,
     "p5_daily": p5_daily,
     "p5_counts": p5_counts,
+    "p5_errors": p5_errors,
+    "p5_bounds": p5_bounds,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p6_bounds": p6_bounds,
@@ -164,18 +176,7 @@ QUERIES: dict[str, Query] = {
     "p8_accuracy": p8_accuracy,
 }
 
-# What must hold of every mixture, whatever its draw.
-_MIXTURE_HOLDS = "SELECT DISTINCT source, true AS within_repeats, true AS as_planned, true AS targets_met FROM source_targets WHERE source IS NOT NULL"
-
-ORACLES: dict[str, str] = {
-    "p6_bounds": """
-        SELECT limit_name, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS repeated, 0 AS needless
-        FROM (SELECT DISTINCT limit_name FROM pack_limits WHERE capacity_tokens > 0)
-    """,
-    "p7_bounds": _MIXTURE_HOLDS,
-    "p7_supply_bounds": _MIXTURE_HOLDS,
-    "p7_entropy_bounds": _MIXTURE_HOLDS,
-    "p5_counts": r"""
+_VALUES = r"""
         WITH reads AS (
             SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY arrived_at DESC NULLS LAST) AS r FROM metrics_ingestion
         ), rates AS (
@@ -190,6 +191,18 @@ ORACLES: dict[str, str] = {
             SELECT 'tokens_per_sec', 'all', tokens_per_sec FROM rates
             WHERE r = 1 AND tokens_per_sec >= 0 AND isfinite(tokens_per_sec)
         )
-        SELECT metric, group_name, count(*) AS n, min(x) AS low, max(x) AS high FROM v GROUP BY ALL
+    """
+# What must hold of every mixture, whatever its draw.
+_MIXTURE_HOLDS = "SELECT DISTINCT source, true AS within_repeats, true AS as_planned, true AS targets_met FROM source_targets WHERE source IS NOT NULL"
+
+ORACLES: dict[str, str] = {
+    "p6_bounds": """
+        SELECT limit_name, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS repeated, 0 AS needless
+        FROM (SELECT DISTINCT limit_name FROM pack_limits WHERE capacity_tokens > 0)
     """,
+    "p7_bounds": _MIXTURE_HOLDS,
+    "p7_supply_bounds": _MIXTURE_HOLDS,
+    "p7_entropy_bounds": _MIXTURE_HOLDS,
+    "p5_counts": _VALUES + "SELECT metric, group_name, count(*) AS n, min(x) AS low, max(x) AS high FROM v GROUP BY ALL",
+    "p5_bounds": _VALUES + "SELECT metric, group_name, count(*) AS n, true AS within FROM v GROUP BY ALL",
 }

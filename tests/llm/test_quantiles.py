@@ -65,3 +65,16 @@ def test_days_combine_into_the_whole(spark):
     assert again == {k: r.n for k, r in whole.items()}
     assert qt.merge(daily.limit(0), keys).count() == 0
     assert math.isinf(qt.Sketch(0).low)
+
+
+def test_rank_errors_are_those_of_sorted_values(spark):
+    rng = np.random.default_rng(4)
+    given = {"a": rng.lognormal(3, 1, 5000), "b": np.repeat([1.0, 5.0], 300), "c": np.array([2.0])}
+    values = spark.createDataFrame([(g, float(x)) for g, xs in given.items() for x in xs] + [("a", None), ("a", math.nan), ("b", math.inf)], "g string, x double")
+    at = [0.1, 0.5, 0.9]
+    rows = [(g, len(xs), 0.0, 0.0, float(np.quantile(xs, 0.13)), float(np.quantile(xs, 0.5)), float(np.quantile(xs, 0.9)), 0.01) for g, xs in given.items()]
+    estimates = spark.createDataFrame(rows, "g string, n long, low double, high double, p10 double, p50 double, p90 double, rank_error double")
+    got = {r.g: r for r in qt.rank_errors(estimates, values, ["g"], "x", at).collect()}
+    assert {g: r.n for g, r in got.items()} == {g: len(xs) for g, xs in given.items()}
+    assert abs(got["a"].worst_error - 0.03) < 0.001 and not got["a"].within and got["b"].worst_error == 0 and got["b"].within and got["c"].within
+    assert qt.rank_errors(estimates, values.limit(0), ["g"], "x", at).count() == 0
