@@ -85,7 +85,7 @@ _PACK = f"""
 """
 
 _MERGE = f"""
-    aggregate(drafts, cast(array() as array<struct<heading:string,tokens:bigint,parts:array<bigint>>>), (m, x) -> CASE
+    aggregate(drafts, cast(array() as array<struct<heading:string,tokens:bigint,parts:array<struct<nth:bigint,section:bigint,draft:int,window:int>>>>), (m, x) -> CASE
         WHEN size(m) > 0 AND element_at(m, -1).tokens + x.tokens <= {MAXIMUM} AND (element_at(m, -1).tokens < {MINIMUM} OR x.tokens < {MINIMUM})
         THEN array_append(slice(m, 1, size(m) - 1), named_struct('heading', coalesce(element_at(m, -1).heading, x.heading), 'tokens', element_at(m, -1).tokens + x.tokens, 'parts', array_append(element_at(m, -1).parts, x.at)))
         ELSE array_append(m, named_struct('heading', x.heading, 'tokens', x.tokens, 'parts', array(x.at))) END)
@@ -100,11 +100,12 @@ def pack(pieces_: DataFrame) -> DataFrame:
     A heading without body is lost, a section that is split repeats its heading.
     """
     opens = F.when(F.col("kind") == "heading", 1).otherwise(0).cast("long")
-    placed = ranks.running_sum(pieces_, ["id"], "ordinal", opens, "section", ["part"]).withColumn("at", F.struct("ordinal", "part"))
     title = F.when(F.col("kind") == "heading", F.col("text"))
-    lists = placed.groupBy("id", "section").agg(F.array_sort(F.collect_list(F.struct("at", "kind", title.alias("title"), "tokens"))).alias("pieces"))
+    narrow = pieces_.select("id", "ordinal", "part", "kind", title.alias("title"), "tokens")
+    placed = ranks.running_sum(narrow, ["id"], "ordinal", opens, "section", ["part"]).withColumn("at", F.struct("ordinal", "part"))
+    lists = placed.groupBy("id", "section").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "title", "tokens"))).alias("pieces"))
     drafts = lists.select("id", "section", F.posexplode(F.expr(_PACK)).alias("draft", "d")).select("id", "section", "draft", "d.heading", "d.tokens", F.explode("d.parts").alias("at"))
-    texts = drafts.join(placed.select("id", "section", "at", "text"), ["id", "section", "at"])
+    texts = drafts.select("*", "at.*").join(pieces_.select("id", "ordinal", "part", "text"), ["id", "ordinal", "part"])
     joined = texts.groupBy("id", "section", "draft").agg(F.first("heading").alias("heading"), F.first("tokens").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), " ").alias("text"))
     return joined.select("id", "section", "draft", "heading", tx.trim("text").alias("text"), "tokens").where("text <> ''")
 
@@ -143,12 +144,13 @@ def merge_small(drafts: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy("section", "draft", "window")
     narrow = drafts.select("id", "section", "draft", "window", "heading", "tokens").withColumn("before", F.lag("tokens").over(order)).withColumn("nth", F.row_number().over(order))
     apart = F.when((F.col("before") >= MINIMUM) & (F.col("tokens") >= MINIMUM), 1).otherwise(0).cast("long")
-    runs = ranks.running_sum(narrow.withColumn("nth", F.col("nth").cast("long")), ["id"], "nth", apart, "run").withColumn("at", F.col("nth"))
-    lists = runs.groupBy("id", "run").agg(F.array_sort(F.collect_list(F.struct("at", "heading", "tokens"))).alias("drafts"))
-    merged = lists.select("id", "run", F.posexplode(F.expr(_MERGE)).alias("piece", "m")).select("id", "run", "piece", "m.heading", "m.tokens", F.explode("m.parts").alias("at"))
-    texts = runs.select("id", "at", "section", "draft", "window").join(drafts.select("id", "section", "draft", "window", "text"), ["id", "section", "draft", "window"])
-    grouped = merged.join(texts, ["id", "at"]).groupBy("id", "run", "piece").agg(
-        F.first("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "\n").alias("text"), F.first("tokens").alias("tokens"), F.min("at").alias("first")
+    runs = ranks.running_sum(narrow.withColumn("nth", F.col("nth").cast("long")), ["id"], "nth", apart, "run")
+    at = F.struct("nth", "section", "draft", "window").alias("at")
+    lists = runs.groupBy("id", "run").agg(F.array_sort(F.collect_list(F.struct(at, "heading", "tokens"))).alias("drafts"))
+    merged = lists.select("id", "run", F.posexplode(F.expr(_MERGE)).alias("piece", "m")).select("id", "run", "piece", "m.heading", "m.tokens", F.explode("m.parts").alias("at")).select("*", "at.*")
+    texts = merged.drop("at").join(drafts.select("id", "section", "draft", "window", "text"), ["id", "section", "draft", "window"])
+    grouped = texts.groupBy("id", "run", "piece").agg(
+        F.first("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), "\n").alias("text"), F.first("tokens").alias("tokens"), F.min("nth").alias("first")
     )
     return ranks.rank(grouped, ["id"], "first", "segment").select("id", (F.col("segment") - 1).cast("int").alias("segment"), "heading", "text", "tokens")
 

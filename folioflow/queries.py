@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.operators import blocks, catalog, consume, generate, nested, segments, selection, telemetry, validate
+from folioflow.session import spread
 from folioflow.sources.tables import table
 from folioflow.streaming import ingest
 
@@ -106,7 +107,7 @@ def file_identity(spark: SparkSession, folder: str) -> DataFrame:
     FROM b WHERE level > 0 OR regexp_matches(body, '[^\s\p{Z}]')
 """)
 def markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return blocks.markdown_blocks(table(spark, folder, "documents"), "doc_id", "text")
+    return blocks.markdown_blocks(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(r"""SELECT doc_id AS id, 0 AS ordinal, 'body' AS kind, CAST(NULL AS INTEGER) AS level, text FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')""")
