@@ -72,10 +72,15 @@ def escape_html(c: Column | str) -> Column:
     return out
 
 
+def first_filled(*columns: Column | str) -> Column:
+    """The first of the columns that is not blank, as it is; null if all are."""
+    return F.coalesce(*[F.when(blank_to_null(c).isNotNull(), F.col(c) if isinstance(c, str) else c) for c in columns])
+
+
 def strip_fence(c: Column | str) -> Column:
-    """Trimmed; a text that begins with a code fence loses both fences and the word ``json`` after the first."""
+    """Trimmed; a text that begins with a code fence loses it, the word ``json`` after it, and fences at the end."""
     t = trim(c)
-    inner = trim(F.regexp_replace(F.regexp_replace(t, r"^`+(?:json)?", ""), r"`+$", ""))
+    inner = trim(F.regexp_replace(trim(F.regexp_replace(t, r"^```(?:json)*", "")), r"(?:```)+$", ""))
     return F.when(t.startswith("```"), inner).otherwise(t)
 
 

@@ -175,6 +175,25 @@ def number(segments: DataFrame, files: DataFrame, existing: DataFrame) -> DataFr
     return joined.select("worksheet_id", "file_id", position.alias("position"), tx.blank_to_null("heading").alias("heading"), "text", "tokens")
 
 
+def bounds(segments: DataFrame) -> DataFrame:
+    """id, characters, within: the characters of each file's segments without white space, and whether none is beyond the maximum.
+
+    Whatever way texts are cut and joined, no other character may be lost or made.
+    """
+    bare = F.regexp_replace("text", r"[\s\p{Z}]+", "")
+    return segments.groupBy("id").agg(F.sum(F.length(bare)).alias("characters"), (F.max("tokens") <= MAXIMUM).alias("within"))
+
+
+def numbering(numbered: DataFrame, existing: DataFrame) -> DataFrame:
+    """worksheet_id, follows, gapless: whether the positions of new segments begin after the existing ones, and leave out and repeat none."""
+    last = existing.groupBy("worksheet_id").agg(F.max("position").alias("last"))
+    rows = numbered.groupBy("worksheet_id").agg(F.min("position").alias("low"), F.max("position").alias("high"), F.count("*").alias("n"), F.count_distinct("position").alias("distinct"))
+    joined = rows.join(last, "worksheet_id", "left")
+    follows = F.col("low") == F.coalesce("last", F.lit(-1)) + 1
+    gapless = (F.col("n") == F.col("distinct")) & (F.col("high") - F.col("low") + 1 == F.col("n"))
+    return joined.select("worksheet_id", follows.alias("follows"), gapless.alias("gapless"))
+
+
 def totals(segments: DataFrame) -> DataFrame:
     """id, segments, tokens, mean tokens per segment of each file (id, tokens)."""
     rows = segments.groupBy("id").agg(F.count("*").alias("segments"), F.sum("tokens").alias("tokens"))

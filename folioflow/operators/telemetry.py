@@ -24,6 +24,12 @@ def error_class(message: Column | str) -> Column:
     )
 
 
+def asks_without_schema(message: Column | str) -> Column:
+    """Whether an error says that the provider takes no schema, so that the request is to be made again without; null is none."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return F.contains(m, F.lit("response_format")) | F.contains(m, F.lit("json_schema")) | F.contains(m, F.lit("structured output"))
+
+
 def backoff_ms(attempt: Column | str) -> Column:
     """700 * 2^min(n, 3) / 2 + 200 milliseconds."""
     n = F.col(attempt) if isinstance(attempt, str) else attempt

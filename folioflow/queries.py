@@ -225,6 +225,27 @@ def numbered_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segments.number(segments.segment(made.unionByName(bodies)), _once(spark, folder, "files"), chunks)
 
 
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')),
+    b AS (SELECT doc_id, sum(length(regexp_replace(line, '[\s\p{Z}]', '', 'g'))) AS n FROM l WHERE NOT regexp_matches(line, '^[\s\p{Z}]*#{1,6} ') GROUP BY 1)
+    SELECT doc_id AS id, CAST(n AS BIGINT) AS characters, true AS within FROM b WHERE n > 0
+""")
+def document_segment_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the segments of documents: all characters are there, none is too long."""
+    return segments.bounds(document_segments(spark, folder))
+
+
+@query(f"WITH {CHUNKS} SELECT file_id AS id, CAST(sum(length(regexp_replace(text, '[\\s\\p{{Z}}]', '', 'g'))) AS BIGINT) AS characters, true AS within FROM c WHERE regexp_matches(text, '[^\\s\\p{{Z}}]') GROUP BY 1")
+def numbered_segment_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.bounds(numbered_segments(spark, folder).withColumnRenamed("file_id", "id"))
+
+
+@query(f"WITH {CHUNKS} SELECT DISTINCT worksheet_id, true AS follows, true AS gapless FROM c WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')")
+def numbering_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the positions of new segments in their worksheets."""
+    return segments.numbering(numbered_segments(spark, folder), _once(spark, folder, "chunks"))
+
+
 @query(f"WITH {CHUNKS}, t AS (SELECT file_id AS id, CAST(coalesce(strlen(text) // 4, 0) AS BIGINT) AS n FROM c) SELECT id, count(*) AS segments, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n) / count(*), 9) AS tokens_per_segment FROM t GROUP BY 1")
 def segment_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Segments and tokens of each file."""
@@ -505,12 +526,12 @@ def sampled_quiz_sizes(spark: SparkSession, folder: str) -> DataFrame:
 def effective_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = _replies(spark, folder).where("status = 'ok'")
     fields = [F.when(F.col("field_source") == f, F.col("text")) for f in ("content", "reasoning", "reasoning_content")]
-    return rows.select("reply_id", F.coalesce(*[F.when(tx.blank_to_null(c).isNotNull(), c) for c in fields]).alias("text"))
+    return rows.select("reply_id", tx.first_filled(*fields).alias("text"))
 
 
 @query(f"""
     WITH {REPLIES}, t AS (SELECT reply_id, {TRIM.format('text')} AS t FROM r WHERE status = 'ok')
-    SELECT reply_id, md5(CASE WHEN starts_with(t, '```') THEN {TRIM.format("regexp_replace(regexp_replace(t, '^`+(?:json)?', ''), '`+$', '')")} ELSE t END) AS stripped FROM t
+    SELECT reply_id, md5(CASE WHEN starts_with(t, '```') THEN {TRIM.format("regexp_replace(regexp_replace(regexp_replace(t, '^```(?:json)*', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '(?:```)+$', '')")} ELSE t END) AS stripped FROM t
 """)
 def strip_fence(spark: SparkSession, folder: str) -> DataFrame:
     return _replies(spark, folder).where("status = 'ok'").select("reply_id", F.md5(tx.strip_fence("text").cast("binary")).alias("stripped"))
@@ -775,6 +796,16 @@ def reply_latency(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.latency(_replies(spark, folder)).withColumn("mean", F.round("mean", 6))
 
 
+@query(f"""
+    WITH {REPLIES}, m AS (SELECT provider, contains(lower(error), 'response_format') OR contains(lower(error), 'json_schema') OR contains(lower(error), 'structured output') AS schemaless FROM r WHERE status = 'error')
+    SELECT provider, count(*) AS errors, count(*) FILTER (schemaless) AS schemaless FROM m GROUP BY 1
+""")
+def schema_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of each provider, and those that ask for a request without schema."""
+    rows = _replies(spark, folder).where("status = 'error'")
+    return rows.groupBy("provider").agg(F.count("*").alias("errors"), F.count_if(telemetry.asks_without_schema("error")).alias("schemaless"))
+
+
 @query(f"WITH {REPLIES} SELECT attempt, count(*) AS n FROM r GROUP BY 1")
 def attempt_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.attempts(_replies(spark, folder))

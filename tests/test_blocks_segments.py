@@ -129,3 +129,5 @@ def test_segments_against_brute_force(spark):
         got.setdefault(r.id, []).append((r.heading, r.text, r.tokens))
     assert got == {i: b for i, items in files.items() if (b := brute_segments(items))}
     assert segments.segment(df.limit(0)).count() == 0
+    held = {r.id: (r.characters, r.within) for r in segments.bounds(segments.segment(df)).collect()}
+    assert held == {i: (sum(len("".join(t.split())) for k, t in items if k == "body"), True) for i, items in files.items() if brute_segments(items)}

@@ -41,6 +41,13 @@ def test_formats(spark):
     assert one(spark, tx.last_dot("s"), "s string", "a.b.PDF", "none", None) == ["pdf", None, None]
 
 
+def test_first_filled_and_fences(spark):
+    rows = [("c", "r", "x"), (" ", "r ", "x"), (None, "", "x"), (None, None, " "), ("", "r", None)]
+    df = spark.createDataFrame(rows, "content string, reasoning string, reasoning_content string")
+    assert [r[0] for r in df.select(tx.first_filled("content", "reasoning", "reasoning_content")).collect()] == ["c", "r ", "x", None, "r"]
+    assert one(spark, tx.strip_fence("s"), "s string", "```\n{}\n``````", "```json json```", "a ```b```", "``` ```") == ["{}", "json", "a ```b```", ""]
+
+
 def test_ranks_over_blocks_equal_a_window(spark):
     rows = [("a", i % 50, i) for i in range(300)] + [("b", None, 1), (None, 3, 1), (None, 3, 2)]
     df = spark.createDataFrame(rows, "k string, o int, id int")
