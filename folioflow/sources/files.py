@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as tx
 from folioflow.operators import blocks
 
+#: Files that are read by their paths at most.
+PATHS = 10_000
 BLOCK_ROWS = "id string, ordinal int, kind string, level int, text string"
 #: (bytes, extension) -> [(kind, level, text)]
 Parser = Callable[[bytes, str], list[tuple[str, int | None, str]]]
@@ -42,16 +44,18 @@ def read_blocks(spark: SparkSession, files: DataFrame, parser: Parser | None = N
 
     Text and markdown are read whole and parsed by column expressions. Documents and office files need a
     ``parser``, which is called on the executors file by file; without one, ``NoParser`` is raised where there is such a file, so that
-    none is left out unseen. Folders are read, not lists of files: what reaches the driver are the distinct folders.
+    none is left out unseen. Up to ``PATHS`` files are read by their paths, which then pass through the driver; of more, their folders are
+    read, so that only the distinct folders do, and the files that are not asked for drop out in a join.
     """
     if parser is None:
         needs = files.where("parser in ('document', 'office')").select("extension").first()
         if needs:
             raise NoParser(f"no parser for files of extension {needs.extension}")
-    folders = [r.folder for r in files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).dropDuplicates().toLocalIterator()]
-    if not folders:
+    place = F.col("path") if files.count() <= PATHS else F.regexp_replace("path", r"/[^/]*$", "")
+    places = [r.place for r in files.select(place.alias("place")).dropDuplicates().toLocalIterator()]
+    if not places:
         return spark.createDataFrame([], BLOCK_ROWS)
-    content = spark.read.format("binaryFile").load(folders).select("path", "content").join(files.select("id", "path", "parser", "extension"), "path")
+    content = spark.read.format("binaryFile").load(places).select("path", "content").join(files.select("id", "path", "parser", "extension"), "path")
     texts = content.select("id", "parser", F.decode("content", "UTF-8").alias("text"))
     out = blocks.markdown_blocks(texts.where("parser = 'markdown'"), "id", "text").unionByName(blocks.plain_blocks(texts.where("parser = 'text'"), "id", "text"))
     if parser is None:

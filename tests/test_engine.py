@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from folioflow.plans.engine import Engine, Stopped
 from folioflow.session import checkpoint_dir
+from folioflow.sources import files
 from folioflow.sources.files import NoParser
 from folioflow.sources.store import SCHEMAS, Store
 from folioflow.streaming import ingest
@@ -93,6 +94,16 @@ def test_jobs_are_stopped_resumed_and_fail_loudly(spark, tmp_path):
     assert not engine.run(w)
 
 
+def test_files_are_read_by_path_or_by_folder(spark, tmp_path, monkeypatch):
+    for name, text in (("a.md", "# A\nbody"), ("b.txt", "plain"), ("other.txt", "not asked for")):
+        (tmp_path / name).write_text(text)
+    asked = files.metadata(spark, [str(tmp_path / "a.md"), str(tmp_path / "b.txt")]).withColumn("id", F.col("name"))
+    by_path = sorted(map(tuple, files.read_blocks(spark, asked).collect()), key=str)
+    monkeypatch.setattr(files, "PATHS", 1)
+    assert by_path == sorted(map(tuple, files.read_blocks(spark, asked).collect()), key=str) and {r[0] for r in by_path} == {"a.md", "b.txt"}
+    assert files.read_blocks(spark, asked.limit(0)).count() == 0
+
+
 def test_store_appends_files_and_never_overwrites(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     row = spark.createDataFrame([("a", "w", "w", 0, None, "t", None)], SCHEMAS["chunks"])
