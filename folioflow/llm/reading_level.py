@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,20 @@ _FUNCTION = {lang: FUNCTION_WORDS[lang].split() for lang in _LANGS}
 _CONNECTIVES = {lang: frozenset(words.split()) for lang, words in CONNECTIVES.items()}
 
 
-def _opens(lang: str) -> re.Pattern:
-    words = "|".join(SUBORDINATORS[lang].split())
-    after = f"|,\\s+(?:{'|'.join(AFTER_COMMA[lang].split())})\\b" if lang in AFTER_COMMA else ""
-    return re.compile(f"\\b(?:{words})\\b{after}|[,;]|[.!?…]+(?=[\\s\"'»”)]|$)|\\n")
+def _kept(chars: str, **other: str) -> bytes:
+    """A table of bytes: letters, ``chars`` and all beyond ASCII stay, ``other`` changes, the rest is a space."""
+    stay = {c for c in map(chr, range(128)) if c.isalpha()} | set(chars)
+    return bytes(ord(other.get(c, c if c in stay or i > 127 else " ")) for i, c in enumerate(map(chr, range(256))))
 
 
-_CLAUSES = {lang: _opens(lang) for lang in _LANGS}
-_WORD = re.compile(r"[^\W\d_]+")
-_UNIT = re.compile(r"[.!?…]+[\s\"'»”)]|\n+")
+# Patterns begin with a set of characters, so that a search passes over all others at once.
+_LETTERS, _TOKENS = _kept(""), _kept("0123456789_,\0", **{";": ",", "\n": "\1"})
+_GAP, _DIGIT, _FOREIGN = re.compile(r"[^\w\x00-\x7f]"), re.compile(r"\d"), re.compile(r"[^\x00-\x7f]")
+_SENTENCE_END = re.compile(r"[.!?…](?<![.!?…]{2})[.!?…]*+(?=[\s\"'»”)]|$)")
+_UNIT = re.compile(r"[.!?…\n](?:(?<=\n)\n*+|(?<![.!?…]{2})[.!?…]*+[\s\"'»”)])")
+_RELATIVE = {lang: re.compile(f",\\s+(?:{'|'.join(words.split())})\\b") for lang, words in AFTER_COMMA.items()}
+_OPENS, _CLOSES, _LINE, _MARK = 1, 2, 3, 4
+_CLAUSES = {lang: {**dict.fromkeys(words.split(), _OPENS), ",": _CLOSES, "\1": _LINE, "\0": _MARK} for lang, words in SUBORDINATORS.items()}
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]+")
 FEATURES = (
     "log_words", "word_length", "long_words", "syllables", "log_unit_length", "longest_unit", "diversity", "window_diversity", "rarity", "rare_words",
@@ -61,12 +67,22 @@ FEATURES = (
 )
 
 
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def words_in(low: str) -> list[str]:
+    """The runs of letters, in order: what ``[^\\W\\d_]+`` finds."""
+    plain = _bytes(low).translate(_LETTERS).decode("utf-8", "surrogatepass")
+    return (plain if plain.isascii() else _DIGIT.sub(" ", _GAP.sub(" ", plain))).split()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                seen.update(_WORD.findall(text.lower()))
+                seen.update(words_in(text.lower()))
         if len(seen) > _FLUSH:
             yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
             seen.clear()
@@ -95,7 +111,7 @@ def count_words(documents: DataFrame, text_col: str = "text") -> Words:
 
 def language_of(counts: Counter) -> str | None:
     """The language with most function words among the counted words; None without any."""
-    hits = {lang: sum(counts[w] for w in words) for lang, words in _FUNCTION.items()}
+    hits = {lang: sum(map(counts.get, words, repeat(0))) for lang, words in _FUNCTION.items()}
     best = max(hits, key=hits.__getitem__)
     return best if hits[best] else None
 
@@ -108,28 +124,38 @@ def clause_depths(low: str, lang: str | None) -> tuple[int, list[int]]:
     """
     if lang is None:
         return 0, []
+    if lang in _RELATIVE:  # such a pair opens a clause as a subordinator does; the dash keeps a mark before the comma from ending a sentence
+        low = _RELATIVE[lang].sub(f"- {SUBORDINATORS[lang].split()[0]} ", low)
+    marked = _bytes(_SENTENCE_END.sub("\0", low.replace("\0", "-")))
+    plain = marked.translate(_TOKENS).replace(b",", b" , ").replace(b"\1", b" \1 ").replace(b"\0", b" \0 ").decode("utf-8", "surrogatepass")
+    tokens = (plain if plain.isascii() else _GAP.sub(" ", plain)).split()
     found, depths, depth, most = 0, [], 0, 0
-    for m in _CLAUSES[lang].finditer(low):
-        t = m[0]
-        if t in ",;":
-            depth -= depth > 0
-        elif t[0] in ".!?…\n":
-            if most or t[0] != "\n":
-                depths.append(most)
-            depth = most = 0
-        else:
+    for what in filter(None, map(_CLAUSES[lang].get, tokens)):
+        if what == _OPENS:
             found += 1
             depth += 1
             most = max(most, depth)
+        elif what == _CLOSES:
+            depth -= depth > 0
+        else:
+            if most or what == _MARK:
+                depths.append(most)
+            depth = most = 0
     if most:
         depths.append(most)
     return found, depths
 
 
+def _those(text: str, ascii_: bytes, test) -> int:
+    """How many characters are of one kind: ``ascii_`` lists those of ASCII, ``test`` tells the others."""
+    data = _bytes(text)
+    return len(data) - len(data.translate(None, ascii_)) + (0 if text.isascii() else sum(map(test, _FOREIGN.findall(text))))
+
+
 def features_of(text: str | None, words_: Words, cache: dict[str, tuple]) -> list[float] | None:
     """The features in the order of ``FEATURES``; None for a text without words."""
     low = (text or "").lower()
-    words = _WORD.findall(low)
+    words = words_in(low)
     n = len(words)
     if not n:
         return None
@@ -156,18 +182,26 @@ def features_of(text: str | None, words_: Words, cache: dict[str, tuple]) -> lis
                 very += k
     connectives = sum(counts[w] for w in _CONNECTIVES[lang] if w in counts) if lang else 0
     subordinators, depths = clause_depths(low, lang)
-    units = [u for u in (s.count(" ") + 1 for s in _UNIT.split(text) if s and s.strip()) if u]
+    units = [s.count(" ") + 1 for s in _UNIT.split(text) if s and not s.isspace()]
     m = max(1, len(units))
     windows = [*range(0, max(1, n - 49), 50), *([n - 50] if n > 50 and n % 50 else [])]  # the last one ends with the text
     window = sum(len(set(words[i : i + 50])) / min(50, n - i) for i in windows) / len(windows)
     commas, semicolons = text.count(","), text.count(";") + text.count(":") + text.count("—") + text.count("(")
     return [
         math.log(n), length / n, long_ / n, syllables / n, math.log(n / m), math.log(max(units, default=1)), math.log(len(counts) + 1) / math.log(n + 1), window, rarity / n, rare / n,
-        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, sum(depths) / max(1, len(depths)), max(depths, default=0), sum(map(str.isdigit, low)) / len(low),
-        sum(map(str.isupper, text)) / max(len(text), 1), short / n, text.count("?") / m,
+        very / n, connectives / m, subordinators / m, commas / m, semicolons / m, sum(depths) / max(1, len(depths)), max(depths, default=0), _those(low, b"0123456789", str.isdigit) / len(low),
+        _those(text, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", str.isupper) / max(len(text), 1), short / n, text.count("?") / m,
     ]
 
 
+def as_lists(rows: list[list[float] | None]) -> pa.ListArray:
+    """Rows of equally many doubles, or null, as a column: flat, since Arrow converts nested Python lists slowly."""
+    missing = np.array([r is None for r in rows], dtype=bool)
+    flat = np.array([r for r in rows if r is not None], dtype=float)
+    ends = np.concatenate([[0], np.cumsum(~missing)]) * (flat.shape[1] if len(flat) else 0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.ravel(), pa.float64()), mask=pa.array(missing))
+
+
 def features(documents: DataFrame, words: Words, keep: list[str]) -> DataFrame:
     """``doc_id``, ``keep`` and ``features`` (null for texts without words) of each document."""
     narrow = documents.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
@@ -178,7 +212,7 @@ def features(documents: DataFrame, words: Words, keep: list[str]) -> DataFrame:
         held, cache = Words(*ref.value), {}
         for batch in batches:
             rows = [features_of(t, held, cache) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], as_lists(rows)], names=[*batch.schema.names[:-1], "features"])
 
     return spread(narrow).mapInArrow(measure, schema)
 
@@ -268,13 +302,14 @@ def estimates(measured: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column(batch.num_columns - 1).to_pylist()
-            if not given:
+            given = batch.column(batch.num_columns - 1)
+            if not len(given):
                 continue
-            x = np.array([f if f is not None else model.mean for f in given], dtype=float)
+            known = given.is_valid().to_numpy(zero_copy_only=False)
+            x = np.tile(model.mean, (len(given), 1))
+            x[known] = given.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.mean))
             p = model.estimate(x)
             level = 1 + (np.cumsum(p, axis=1) < 0.5).sum(axis=1)
-            known = np.array([f is not None for f in given])
             columns = [*batch.columns[:-1], pa.array(level, pa.int32()), pa.array(p @ np.arange(1, LEVELS + 1)), pa.array(p.max(axis=1) * known)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "reading_level", "expected_level", "confidence"])
 
